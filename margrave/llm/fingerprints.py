@@ -38,9 +38,9 @@ def unpack(blob: bytes, base: int) -> np.ndarray:
     return np.add.accumulate(out)
 
 
-def bucket_starts(n: int) -> np.ndarray:
-    """Lower bounds of n hash ranges of equal size."""
-    return np.array([(i << 64) // n if n else 0 for i in range(n)], dtype=np.uint64)
+def bucket_starts(n: int, bits: int = 64) -> np.ndarray:
+    """Lower bounds of n ranges of equal size, of hashes of so many bits."""
+    return np.array([(i << bits) // n for i in range(n)], dtype=np.uint64)
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
@@ -68,9 +68,9 @@ def grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
 ANSWERS = "g int, b int, answer binary"
 
 
-def send(groups: DataFrame, n_buckets: int, hashes: Callable[[pa.Table], tuple[np.ndarray, np.ndarray | None]]) -> DataFrame:
+def send(groups: DataFrame, n_buckets: int, hashes: Callable[[pa.Table], tuple[np.ndarray, np.ndarray | None]], bits: int = 64) -> DataFrame:
     """One row (g, b, keys, extra) per group and bucket. hashes(documents of a group): its distinct hashes ascending, and a byte each or None."""
-    starts = bucket_starts(n_buckets)
+    starts = bucket_starts(n_buckets, bits)
 
     def emit(t: pa.Table) -> pa.Table:
         g, (h, extra) = t["g"][0].as_py(), hashes(t)
@@ -88,9 +88,9 @@ def send(groups: DataFrame, n_buckets: int, hashes: Callable[[pa.Table], tuple[n
     return groups.groupBy("g").applyInArrow(emit, "g int, b int, keys binary, extra binary")
 
 
-def answer(sent: DataFrame, n_buckets: int, reply: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def answer(sent: DataFrame, n_buckets: int, reply: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], bits: int = 64) -> DataFrame:
     """ANSWERS. reply(run starts of equal hashes in sorted order, order, extra by entry) gives a uint8 code by entry; entries come by ascending g."""
-    starts = bucket_starts(n_buckets)
+    starts = bucket_starts(n_buckets, bits)
 
     def solve(t: pa.Table) -> pa.Table:
         b, order = t["b"][0].as_py(), np.argsort(t["g"].to_numpy(), kind="stable")
