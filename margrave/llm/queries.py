@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from margrave.llm.bpe import bpe_decode, bpe_encode
 from margrave.llm.common import ship
 from margrave.llm.decontaminate import decontaminate
 from margrave.llm.ngram_join import ngram_join
@@ -31,7 +32,20 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", ids.alias("items_sha256"), (F.col("n_items") >= 2).alias("contaminated"))
 
 
+def _digits(ids: str):
+    return F.sha2(F.array_join(F.col(ids).cast("array<string>"), ","), 256)
+
+
+def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = bpe_decode(bpe_encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _digits("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
+    "op8_byte_level_bpe": op8_byte_level_bpe,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup,
