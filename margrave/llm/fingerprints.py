@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from margrave.llm.common import partitions, total_bytes
+from margrave.llm.textops import trimmed
 
-GROUP_BYTES = 8 << 20
-BUCKET_BYTES = 48 << 20
+GROUP_BYTES = 2 << 20
+BUCKET_BYTES = 32 << 20
 
 
 def pack(sorted_hashes: np.ndarray, base: int) -> bytes:
@@ -85,7 +86,7 @@ def send(groups: DataFrame, n_buckets: int, hashes: Callable[[pa.Table], tuple[n
             }
         )
 
-    return groups.groupBy("g").applyInArrow(emit, "g int, b int, keys binary, extra binary")
+    return groups.groupBy("g").applyInArrow(trimmed(emit), "g int, b int, keys binary, extra binary")
 
 
 def answer(sent: DataFrame, n_buckets: int, reply: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], bits: int = 64) -> DataFrame:
@@ -110,7 +111,7 @@ def answer(sent: DataFrame, n_buckets: int, reply: Callable[[np.ndarray, np.ndar
             }
         )
 
-    return sent.groupBy("b").applyInArrow(solve, ANSWERS)
+    return sent.groupBy("b").applyInArrow(trimmed(solve), ANSWERS)
 
 
 def codes(answers: pa.Table, n: int) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from margrave.llm import fingerprints as fp
 from margrave.llm.common import materialize
 from margrave.llm.components import components
-from margrave.llm.textops import mix, slices, utf8, windows, words
+from margrave.llm.textops import mix, slices, trimmed, utf8, windows, words
 
 #: Bits of a shingle's hash in the sets that are compared.
 TOKEN_BITS = 52
@@ -186,7 +186,7 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, orders: int = 3,
 
     answers = fp.answer(fp.send(groups, n_buckets, counted, bits), n_buckets, classes, bits)
     described = materialize(
-        groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(describe, "doc_id long, n long, sig binary, tokens binary, classes binary, front array<long>"), "shingle-sets"
+        groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(trimmed(describe), "doc_id long, n long, sig binary, tokens binary, classes binary, front array<long>"), "shingle-sets"
     )
     reps = described.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     first = described.where("front is not null").select("doc_id", "sig", "front").join(reps, "sig").where("doc_id = rep").select("doc_id", F.explode("front").alias("token"))
@@ -208,10 +208,10 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, orders: int = 3,
         other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
         dealt = sets.join(F.broadcast(table), "root", "left").withColumn("own", own).withColumn("other", other)
         dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-        linked = dealt.groupBy("root", "i", "j").applyInArrow(link, "u long, v long")
+        linked = dealt.groupBy("root", "i", "j").applyInArrow(trimmed(link), "u long, v long")
         linked = components(linked).select(F.col("node").alias("rep"), F.col("root").alias("component"))
     else:
-        linked = sets.groupBy("root").applyInArrow(link, "u long, v long").groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("component"))
+        linked = sets.groupBy("root").applyInArrow(trimmed(link), "u long, v long").groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("component"))
     own = reps.join(linked, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     whole = described.select("doc_id", "n", "sig").join(own, "sig", "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from margrave.llm.bpe import bpe_decode, bpe_encode
-from margrave.llm.common import ship
+from margrave.llm.common import scratch_path, ship
 from margrave.llm.decontaminate import decontaminate
 from margrave.llm.ngram_join import ngram_join
 from margrave.llm.substring_dedup import substring_dedup
+from margrave.llm.token_orc import token_index, write_token_orc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +45,16 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _digits("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch_path(spark, "tokens")
+    write_token_orc(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return token_index(spark, path)
+
+
 QUERIES = {
+    "op4_token_orc": op4_token_orc,
     "op8_byte_level_bpe": op8_byte_level_bpe,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,

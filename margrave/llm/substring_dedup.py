@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from margrave.llm import fingerprints as fp
-from margrave.llm.textops import covered, join_kept, slices, utf8, windows, words
+from margrave.llm.textops import covered, join_kept, slices, trimmed, utf8, windows, words
 
 
 def _hashed(t: pa.Table, k: int):
@@ -80,7 +80,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
 
     groups, n_buckets = fp.grouped(docs, id_col, text_col)
     answers = fp.answer(fp.send(groups, n_buckets, distinct), n_buckets, seen_before)
-    return groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(delete, "doc_id long, n_words long, n_removed long, kept_text string, removed array<array<int>>")
+    return groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(trimmed(delete), "doc_id long, n_words long, n_removed long, kept_text string, removed array<array<int>>")
 
 
 _INTERVALS = pa.list_(pa.list_(pa.int32()))

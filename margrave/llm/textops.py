@@ -7,7 +7,8 @@ operations, with no Python object per word. Memory is bounded by handling SLICE
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +40,21 @@ def _powers_to(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def trimmed(f: Callable) -> Callable:
+    """f, of one or two Arrow tables, which afterwards gives freed memory back to the system: idle Python workers would keep it."""
+
+    def run(*tables):
+        try:
+            return f(*tables)
+        finally:
+            if sum(t.nbytes for t in tables) > 1 << 20:
+                pa.default_memory_pool().release_unused()
+                if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                    libc.malloc_trim(0)
+
+    return (lambda t: run(t)) if f.__code__.co_argcount == 1 else (lambda left, right: run(left, right))
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """The splitmix64 finaliser, on a copy."""
     x = x + _U((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))
