@@ -9,6 +9,7 @@ from margrave.llm.bpe import bpe_decode, bpe_encode
 from margrave.llm.common import scratch_path, ship
 from margrave.llm.decontaminate import decontaminate
 from margrave.llm.ngram_join import ngram_join
+from margrave.llm.quality_knn import fit_quality, held_out, score_quality
 from margrave.llm.substring_dedup import substring_dedup
 from margrave.llm.token_orc import token_index, write_token_orc
 
@@ -53,7 +54,19 @@ def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, path)
 
 
+#: A document of at least this score counts as of good quality.
+GOOD = 0.7
+
+
+def op7_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    voters = fit_quality(docs, _table(spark, sf_dir, "labels"))
+    scored = score_quality(docs.select("doc_id", "text"), voters)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op7_quality_knn": op7_quality_knn,
     "op4_token_orc": op4_token_orc,
     "op8_byte_level_bpe": op8_byte_level_bpe,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,

@@ -80,11 +80,11 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most limit bytes together, or of one text."""
+def slices(offsets: np.ndarray, limit: int = SLICE, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Ranges of at most so many texts, of at most limit bytes together or of one text."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1))
         yield lo, hi
         lo = hi
 
