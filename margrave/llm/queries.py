@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from margrave.llm.bpe import bpe_decode, bpe_encode
 from margrave.llm.common import scratch_path, ship
+from margrave.llm.cross_polytope import nearest
 from margrave.llm.decontaminate import decontaminate
 from margrave.llm.ngram_join import ngram_join
 from margrave.llm.quality_knn import fit_quality, held_out, score_quality
@@ -65,7 +66,13 @@ def op7_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 QUERIES = {
+    "op6_cross_polytope": op6_cross_polytope,
     "op7_quality_knn": op7_quality_knn,
     "op4_token_orc": op4_token_orc,
     "op8_byte_level_bpe": op8_byte_level_bpe,
