@@ -11,6 +11,7 @@ from margrave.llm.cross_polytope import nearest
 from margrave.llm.decontaminate import decontaminate
 from margrave.llm.ngram_join import ngram_join
 from margrave.llm.quality_knn import fit_quality, held_out, score_quality
+from margrave.llm.secrets import find_secrets, written
 from margrave.llm.substring_dedup import substring_dedup
 from margrave.llm.token_orc import token_index, write_token_orc
 
@@ -71,7 +72,16 @@ def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_secrets(_table(spark, sf_dir, "documents"))
+    count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+    return out.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans")
+    )
+
+
 QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
     "op6_cross_polytope": op6_cross_polytope,
     "op7_quality_knn": op7_quality_knn,
     "op4_token_orc": op4_token_orc,
