@@ -9,6 +9,7 @@ from margrave.llm.bpe import bpe_decode, bpe_encode
 from margrave.llm.common import scratch_path, ship
 from margrave.llm.cross_polytope import nearest
 from margrave.llm.decontaminate import decontaminate
+from margrave.llm.line_dedup import line_dedup
 from margrave.llm.ngram_join import ngram_join
 from margrave.llm.quality_knn import fit_quality, held_out, score_quality
 from margrave.llm.secrets import find_secrets, written
@@ -80,7 +81,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=2)
+    return out.select("doc_id", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op5_line_dedup": op5_line_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op6_cross_polytope": op6_cross_polytope,
     "op7_quality_knn": op7_quality_knn,
@@ -92,6 +99,22 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, p, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS ink
+  FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+n AS (SELECT doc_id, p, line, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM l WHERE ink),
+win AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS line2 FROM n),
+firsts AS (SELECT line, line2, min((doc_id, i)) AS f FROM win WHERE line2 IS NOT NULL GROUP BY ALL),
+hit AS (SELECT doc_id, i FROM win JOIN firsts USING (line, line2) WHERE f < (doc_id, i)),
+gone AS (SELECT doc_id, i FROM hit UNION SELECT doc_id, i + 1 FROM hit),
+kept AS (
+  SELECT l.doc_id, l.p, l.line, l.ink, g.i IS NOT NULL AS gone
+  FROM l LEFT JOIN n USING (doc_id, p) LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.i = n.i)
+SELECT d.doc_id, coalesce(count(*) FILTER (ink), 0) AS n_lines, coalesce(count(*) FILTER (k.gone), 0) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT k.gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id) GROUP BY d.doc_id
+""",
     "op9_benchmark_decontamination": r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
