@@ -9,6 +9,7 @@ from margrave.llm.bpe import bpe_decode, bpe_encode
 from margrave.llm.common import scratch_path, ship
 from margrave.llm.cross_polytope import nearest
 from margrave.llm.decontaminate import decontaminate
+from margrave.llm import pseudo_likelihood
 from margrave.llm.line_dedup import line_dedup
 from margrave.llm.ngram_join import ngram_join
 from margrave.llm.quality_knn import fit_quality, held_out, score_quality
@@ -86,7 +87,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
+
+
 QUERIES = {
+    "op1_pseudo_likelihood": op1_pseudo_likelihood,
     "op5_line_dedup": op5_line_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op6_cross_polytope": op6_cross_polytope,
