@@ -130,6 +130,13 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     return Words(data, offsets, start, end, doc, h)
 
 
+def run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of integer values; runs lie end to end and cover all values."""
+    power, inverse = _powers_to(len(values))
+    h = np.add.reduceat(mix(values) * power[: len(values)], start) * inverse[start]
+    return mix(h + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+
 def windows(w: Words, k: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Index of the first word and rolling polynomial hash of each window of k words of one text; a text of fewer words, but not none, is one window if whole."""
     n = len(w.hash)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import os
 import zlib
-from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -14,48 +13,119 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from margrave.llm.common import materialize, partitions
+from margrave.llm.textops import run_hashes, slices, utf8
 
 SCHEMA = "doc_id long, ids array<int>"
 #: Of the files: bytes of a stripe, rows of an index entry, share of false positives of the Bloom filters.
 STRIPE, STRIDE, FPP = 64 << 20, 1000, 0.01
 #: Splits text as the byte-level pre-tokenizer of the tokenizers library does.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces whose ids a worker remembers, and characters of text it splits at a time.
-REMEMBERED, SLICE = 300_000, 1 << 20
+#: Bytes of text that are split at a time; slots for pieces a worker remembers, and ids these may have in all.
+SLICE, SLOTS, POOL = 1 << 20, 1 << 20, 1 << 23
+_OTHER, _LETTER, _NUMBER, _SPACE = range(4)
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """The kind of every code point."""
+    import regex
+
+    out, every = np.zeros(0x110000, np.uint8), "".join(map(chr, range(0x110000)))
+    for pattern, kind in ((r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER), (r"\s+", _SPACE)):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+@functools.cache
+def _byte_letters() -> dict[int, int]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(others)}
+
+
+def piece_starts(code: np.ndarray, offsets: np.ndarray, text: str) -> np.ndarray:
+    """Where SPLIT's matches start, over texts that lie end to end: code points, the texts' offsets, and the same as a string.
+
+    Without contractions the pattern says: runs of one kind, except that the last white space before other
+    characters is a piece of its own, and if a space joins the piece after it. Texts with an apostrophe that may
+    begin a contraction are split by the pattern itself."""
+    import regex
+
+    n, kind = len(code), _kinds()[code]
+    begins = np.zeros(n + 1, bool)
+    begins[offsets] = True
+    start = begins[:n].copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    last = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & ~begins[1:n])
+    start[last] = True
+    start[last[code[last] == 32] + 1] = False
+    mark = np.flatnonzero(code[:-1] == 39)
+    mark = mark[np.isin(code[mark + 1], [ord(c) for c in "stmdrvl"])]
+    for d in np.unique(np.searchsorted(offsets, mark, "right") - 1):
+        i, j = offsets[d], offsets[d + 1]
+        start[i:j] = False
+        start[[i + m.start() for m in regex.finditer(SPLIT, text[i:j])]] = True
+    return np.flatnonzero(start)
 
 
 class PieceEncoder:
-    """Encodes texts by a byte-level tokenizer, each distinct piece once as long as it is remembered: pieces are encoded apart from each other."""
+    """Encodes texts by a byte-level tokenizer of the tokenizers library. A worker remembers pieces' ids, by the pieces' 64-bit hashes, in a table of fixed size."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.split, self.known = Tokenizer.from_str(spec), regex.compile(SPLIT), {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        e = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        raw = np.array(e.ids, "<u4").tobytes()
-        at = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(pieces) + 1))).tolist()
-        self.known.update(zip(pieces, [raw[i:j] for i, j in zip(at, at[1:])], strict=True))
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """Of each text: its ids, four little-endian bytes each."""
-        lo = 0
-        while lo < len(texts):
-            hi, n = lo, 0
-            while hi < len(texts) and n < SLICE:
-                n, hi = n + len(texts[hi]), hi + 1
-            split = [self.split.findall(t) for t in texts[lo:hi]]
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = list(set().union(*split).difference(self.known))
-            if new:
-                self._learn(new)
-            for pieces in split:
-                yield b"".join(map(self.known.__getitem__, pieces))
-            lo = hi
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.model, self.special = self.tokenizer.model, [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.key, self.begin, self.length = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        self.pool, self.used = np.zeros(POOL, np.int32), 0
+
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        letters = _byte_letters()
+        ids = [[t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(letters))] for p in pieces]
+        length = np.array([len(x) for x in ids], np.int64)
+        flat = np.array([i for x in ids for i in x], np.int32)
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(POOL, len(flat)), np.int32)])
+        begin = self.used + np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64)
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        return begin, length
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each) of texts as UTF-8 bytes and their offsets."""
+        text = data.tobytes().decode()
+        code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]  # offsets in characters
+        docs = len(at) - 1
+        if any(s in text for s in self.special):
+            each = [np.array(self.tokenizer.encode(text[i:j], add_special_tokens=False).ids, np.int32) for i, j in zip(at, at[1:])]
+            return np.concatenate([np.zeros(0, np.int32), *each]), np.array([len(x) for x in each], np.int64)
+        if not len(code):
+            return np.zeros(0, np.int32), np.zeros(docs, np.int64)
+        if self.used > POOL * 3 // 4:
+            self._forget()
+        start = piece_starts(code, at, text)
+        end = np.append(start[1:], len(code))
+        h = run_hashes(code.astype(np.uint64), start, end)
+        slot = (h >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+        begin, length = self.begin[slot], self.length[slot]
+        missing = np.flatnonzero(self.key[slot] != h)
+        if len(missing):
+            new, first, which = np.unique(h[missing], return_index=True, return_inverse=True)
+            first = missing[first]
+            b, n = self._learn([text[i:j] for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+            begin[missing], length[missing] = b[which], n[which]
+            s = slot[first]
+            self.key[s], self.begin[s], self.length[s] = new, b, n
+        each = np.concatenate([[0], np.cumsum(length)])
+        ids = self.pool[np.repeat(begin - each[:-1], length) + np.arange(each[-1])]
+        return ids, np.diff(each[np.searchsorted(start, at)])
 
 
 @functools.lru_cache(2)
@@ -73,21 +143,19 @@ def write_token_orc(docs: DataFrame, tokenizer_path: str, path: str, end_id: int
     Null and empty texts have end_id alone. Null ids come first; rows of equal id stay, next to each other. Extra
     columns are ignored. No rows: no ids."""
     spec = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_bytes())
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
         encoder = _encoder(spec.value)
-        special = [t.content for t in encoder.tokenizer.get_added_tokens_decoder().values()]
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                texts = part["text"].to_pylist()
-                odd = [i for i, t in enumerate(texts) if any(s in t for s in special)]
-                ids = [x + end for x in encoder(texts)]
-                for i in odd:
-                    ids[i] = np.array(encoder.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes() + end
-                at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), "<i4")))], ["doc_id", "ids"])
+            data, offsets = utf8(b["text"])
+            for lo, hi in slices(offsets, SLICE):
+                ids, n = encoder(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                at = np.concatenate([[0], np.cumsum(n + 1)])
+                out = np.full(at[-1], end_id, np.int32)
+                inside = np.ones(at[-1], bool)
+                inside[at[1:] - 1] = False
+                out[inside] = ids
+                yield pa.RecordBatch.from_arrays([b["doc_id"][lo:hi], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(out))], ["doc_id", "ids"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = own.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
