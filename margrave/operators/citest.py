@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from margrave.errors import InsufficientSamples
 from margrave.functions.info import chi2_cdf, sufficient
 
-RESULTS = T.StructType.fromDDL(
+RESULTS = (
     "idx int, x string, y string, z array<string>, statistic string, g double, dof long, n long, p double, significance double, insufficient boolean, independent boolean, dsep boolean, duration_s double"
 )
 
