@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from margrave.llm.bpe import bpe_decode, bpe_encode
+from margrave.llm.bpe import bpe_encode
 from margrave.llm.common import materialize, ship
 from margrave.llm.decontaminate import decontaminate
 from margrave.llm.line_dedup import line_dedup
@@ -61,7 +61,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ship(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = bpe_decode(bpe_encode(docs, path, public_tokenizers.PATTERN), path)
+    out = bpe_encode(docs, path, public_tokenizers.PATTERN, decoded=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from margrave.llm.common import materialize, partitions
+from margrave.llm.textops import lean
 
 #: Characters of a chunk, and of the overlap in which neighbours' boundaries are compared.
 CHUNK, OVERLAP = 1 << 15, 1 << 10
@@ -38,6 +39,12 @@ def _ids(encoded: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *[x.view(np.int32) for x in encoded]])))
 
 
+def _decoded(table: dict[int, bytes], ids: pa.ListArray) -> pa.Array:
+    every = [table[i] for i in ids.flatten().to_pylist()]
+    at = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+    return pa.array([b"".join(every[i:j]) for i, j in zip(at, at[1:])], pa.binary())
+
+
 def boundaries(text: str, pattern: str, begin: int, end: int, last: bool) -> list[int]:
     """Where, from begin to end, a match of pattern ends on a character that isn't white space, or the text itself ends.
 
@@ -64,9 +71,11 @@ def cuts(chunks: list[tuple[int, list[int], list[int]]]) -> list[int]:
     return out
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
     """doc_id and ids array<int>: each match of pattern in the text, merged by the ranks of a tiktoken file.
 
+    With decoded also what bpe_decode gives for the ids; texts encoded whole are then decoded by the same worker.
+
     Texts of up to `chunk` characters are encoded whole. A longer text is cut into chunks that overlap: chunks are
     split by the pattern in parallel, the cuts are moved to boundaries on which neighbours agree (see cuts), and the
     pieces between them are encoded in parallel and put together by number. The rank file is read by the driver and
@@ -82,11 +91,22 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             names = [n for n in b.schema.names if n != "text"]
             for lo in range(0, b.num_rows, ROWS):
                 part = b.slice(lo, ROWS)
-                ids = [enc.encode_to_numpy(t, disallowed_special=()) if t else np.zeros(0, np.uint32) for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[part[n] for n in names], _ids(ids)], [*names, "ids"])
+                yield pa.RecordBatch.from_arrays([*[part[n] for n in names], encoded_batch(enc, part)], [*names, "ids"])
+
+    def encoded_batch(enc, part: pa.RecordBatch) -> pa.Array:
+        return _ids([enc.encode_to_numpy(t, disallowed_special=()) if t else np.zeros(0, np.uint32) for t in part["text"].to_pylist()])
+
+    def round_trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, table = _encoding(ranks.value, pattern), _pieces(ranks.value)
+        for b in batches:
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                ids = encoded_batch(enc, part)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], ids, _decoded(table, ids)], ["doc_id", "ids", "decoded"])
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    short = own.where(F.length("text") <= chunk).mapInArrow(encode, "doc_id long, ids array<int>")
+    short = own.where(F.length("text") <= chunk)
+    short = short.mapInArrow(lean(round_trip), "doc_id long, ids array<int>, decoded binary") if decoded else short.mapInArrow(lean(encode), "doc_id long, ids array<int>")
     long = materialize(own.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "long-texts")
 
     def cut_chunks(batches):
@@ -117,11 +137,12 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                     yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([row], pa.int64()), pa.array([k], pa.int32()), pa.array([text[i:j]])], ["doc_id", "row", "k", "text"])
 
     p = partitions(spark)
-    starts = long.mapInArrow(cut_chunks, "row long, k int, last boolean, text string").repartition(p, "row", "k").mapInArrow(find, "row long, k int, front array<long>, back array<long>").groupBy("row").applyInArrow(stitch, "row long, starts array<long>")
-    pieces = long.join(starts, "row").select("doc_id", "row", "text", "starts").mapInArrow(cut_pieces, "doc_id long, row long, k int, text string").repartition(p, "row", "k")
-    encoded = pieces.mapInArrow(encode, "doc_id long, row long, k int, ids array<int>")
+    starts = long.mapInArrow(lean(cut_chunks), "row long, k int, last boolean, text string").repartition(p, "row", "k").mapInArrow(lean(find), "row long, k int, front array<long>, back array<long>").groupBy("row").applyInArrow(stitch, "row long, starts array<long>")
+    pieces = long.join(starts, "row").select("doc_id", "row", "text", "starts").mapInArrow(lean(cut_pieces), "doc_id long, row long, k int, text string").repartition(p, "row", "k")
+    encoded = pieces.mapInArrow(lean(encode), "doc_id long, row long, k int, ids array<int>")
     whole = encoded.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    return short.unionByName(whole.select("doc_id", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids")))
+    whole = whole.select("doc_id", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
+    return short.unionByName(bpe_decode(whole, ranks_path) if decoded else whole)
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -134,10 +155,8 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> Dat
             for lo in range(0, b.num_rows, ROWS):
                 part = b.slice(lo, ROWS)
                 ids = part[ids_col].fill_null([]) if part[ids_col].null_count else part[ids_col]
-                flat, at = ids.flatten().to_pylist(), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
-                every = [table[i] for i in flat]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([b"".join(every[i:j]) for i, j in zip(at, at[1:])], pa.binary())], [*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(table, ids)], [*part.schema.names, "decoded"])
 
     from pyspark.sql.types import BinaryType, StructField, StructType
 
-    return encoded.mapInArrow(decode, StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))
+    return encoded.mapInArrow(lean(decode), StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch, texts being long.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir, or a temporary one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,11 +47,13 @@ def ascii_lower(c: Column) -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, where it isn't installed there."""
+    """Give the executors' Python workers this package, where it isn't installed there, and Arrow batches of texts a size that fits them."""
     import atexit
     import shutil
     from pathlib import Path
 
+    if spark.conf.get(BATCH) == "10000":  # the default, meant for rows of a few numbers
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_margrave_shipped", False):
         return

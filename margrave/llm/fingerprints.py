@@ -54,7 +54,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     size, p = total_bytes(own, "text"), partitions(spark)
-    n_groups, n_buckets = max(2 * p, size // GROUP_BYTES), max(p, size // BUCKET_BYTES)
+    n_groups, n_buckets = max(2 * p, size // GROUP_BYTES), max(2 * p, size // BUCKET_BYTES)
     cuts = own.select(F.percentile_approx("doc_id", F.array(*[F.lit(i / n_groups) for i in range(1, n_groups)]) if n_groups > 1 else F.array(F.lit(0.5)), 10 * n_groups).alias("q")).first()["q"]
     bounds = sorted({float(x) for x in cuts or []})
     if bounds:

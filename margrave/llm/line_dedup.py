@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from margrave.llm.common import materialize
+from margrave.llm.textops import lean
 
 #: A line of white space alone isn't part of any run.
 _INK = r"[^\x20\x09-\x0D]"
+#: Texts handled at a time.
+ROWS = 256
 #: Documents with deleted lines are broadcast up to this number of documents and of runs, else joined by shuffle.
 BROADCAST_ROWS, BROADCAST_RUNS = 500_000, 5_000_000
 
@@ -89,7 +92,7 @@ def line_dedup(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text
         import re
 
         ink = re.compile(_INK)
-        for b in batches:
+        for b in (batch.slice(lo, ROWS) for batch in batches for lo in range(0, batch.num_rows, ROWS)):
             texts, n_lines, n_removed = [], [], []
             for text, at in zip(b[text_col].to_pylist(), b["__starts"].to_pylist(), strict=True):
                 parts = text.split("\n") if text is not None else []
@@ -110,4 +113,4 @@ def line_dedup(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([*[pa.array(texts, pa.string()) if n == text_col else b[n] for n in names], pa.array(n_lines, pa.int32()), pa.array(n_removed, pa.int32())], [*names, "n_lines", "n_removed"])
 
     schema = StructType([*docs.drop("n_lines", "n_removed").schema.fields, StructField("n_lines", IntegerType()), StructField("n_removed", IntegerType())])
-    return met.mapInArrow(delete, schema)
+    return met.mapInArrow(lean(delete), schema)

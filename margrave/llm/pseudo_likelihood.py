@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from margrave.llm.common import materialize
-from margrave.llm.textops import slices, utf8, words
+from margrave.llm.textops import lean, slices, utf8, words
 
 #: Words of the vocabulary, then hash buckets for all others; both together are CLUSTERS * CLUSTER classes.
 WORDS, BUCKETS, CLUSTERS, CLUSTER = 960, 64, 32, 32
@@ -150,7 +150,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = 1) -> Network:
             h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *[w.hash for *_, w in _words(b)]]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    counts = materialize(own.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "word-counts")
+    counts = materialize(own.mapInArrow(lean(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "word-counts")
     top = counts.orderBy(F.desc("n"), "h").limit(WORDS).toArrow()
     hashes, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
     by = np.lexsort((hashes, -n))
@@ -184,7 +184,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = 1) -> Network:
             mean = sum(np.frombuffer(w, "<f4").astype(float) * (n / total) for n, w in rows)
             return pa.table({"part": t["part"][:1], "w": pa.array([mean.astype("<f4").tobytes()], pa.binary())})
 
-        learnt = own.mapInArrow(learn, "part int, n long, w binary").groupBy("part").applyInArrow(average, "part int, w binary").toArrow().sort_by("part")
+        learnt = own.mapInArrow(lean(learn), "part int, n long, w binary").groupBy("part").applyInArrow(average, "part int, w binary").toArrow().sort_by("part")
         net = net.replaced(np.concatenate([np.frombuffer(w, "<f4") for w in learnt["w"].to_pylist()]))
     return net
 
@@ -205,4 +205,4 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([b["doc_id"][lo:hi], pa.array(n, pa.int64()), pa.array(total, pa.float64()), mean], ["doc_id", "n_tokens", "log_likelihood", "per_token"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, per_token double")
+    return own.mapInArrow(lean(run), "doc_id long, n_tokens long, log_likelihood double, per_token double")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from margrave.llm.textops import SLICE, slices, utf8, words
+from margrave.llm.textops import SLICE, lean, slices, utf8, words
 
 #: Hashed features: words, and triples of character kinds.
 WORD_BINS, SHAPE_BINS = 1024, 1024
@@ -20,7 +20,7 @@ _BINS = WORD_BINS + SHAPE_BINS + REPEAT_BINS
 #: Labelled documents in the vote, at most; latent dimensions; neighbours that vote; power of a similarity that is its weight.
 MAX_LABELLED, DIMENSIONS, NEIGHBOURS, SHARPNESS = 4096, 64, 15, 8
 #: Documents in a block of cosine products.
-BLOCK = 1024
+BLOCK = 512
 
 _KIND = np.full(256, 3, np.int64)
 _KIND[128:] = 4  # of a character beyond ASCII
@@ -108,7 +108,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b["doc_id"][lo:hi], b["label"][lo:hi], pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(describe, "doc_id long, label int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(lean(describe), "doc_id long, label int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     rows = rows.slice(0, max_labelled)
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(rows.num_rows, _BINS).astype(np.float32)
     y = rows["label"].to_numpy()
@@ -132,4 +132,4 @@ def score_quality(docs: DataFrame, voters: Voters, id_col: str = "doc_id", text_
                 s = model.value.score(features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
                 yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.array(s, pa.float64())], [*b.schema.names, out])
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
+    return docs.mapInArrow(lean(score), StructType([*docs.schema.fields, StructField(out, DoubleType())]))

@@ -40,6 +40,12 @@ def _powers_to(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def trimmed(f: Callable) -> Callable:
     """f, of one or two Arrow tables, which afterwards gives freed memory back to the system: idle Python workers would keep it."""
 
@@ -48,13 +54,23 @@ def trimmed(f: Callable) -> Callable:
             return f(*tables)
         finally:
             if sum(t.nbytes for t in tables) > 1 << 20:
-                pa.default_memory_pool().release_unused()
-                if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                    libc.malloc_trim(0)
+                _trim()
 
     return (lambda t: run(t)) if f.__code__.co_argcount == 1 else (lambda left, right: run(left, right))
 
 
+def lean(f: Callable) -> Callable:
+    """f, a map over Arrow batches, which at its end gives freed memory back to the system."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            _trim()
+
+    return run
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """The splitmix64 finaliser, on a copy."""
     x = x + _U((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))

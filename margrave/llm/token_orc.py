@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from margrave.llm.common import materialize, partitions
-from margrave.llm.textops import run_hashes, slices, utf8
+from margrave.llm.textops import lean, run_hashes, slices, utf8
 
 SCHEMA = "doc_id long, ids array<int>"
 #: Of the files: bytes of a stripe, rows of an index entry, share of false positives of the Bloom filters.
@@ -160,7 +160,7 @@ def write_token_orc(docs: DataFrame, tokenizer_path: str, path: str, end_id: int
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = own.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": FPP, "orc.create.index": "true", "orc.row.index.stride": STRIDE, "orc.stripe.size": STRIPE, "compression": "zstd"}
-    ordered.mapInArrow(encode, SCHEMA).write.options(**options).orc(path)
+    ordered.mapInArrow(lean(encode), SCHEMA).write.options(**options).orc(path)
 
 
 def read_token_orc(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -182,7 +182,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["file"], b["row"], pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "file", "row", "n_tokens", "ids_crc32"])
 
     read = read_token_orc(spark, path).select("doc_id", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("row"), "ids")
-    rows = materialize(read.mapInArrow(measure, "doc_id long, file string, row long, n_tokens long, ids_crc32 long"), "token-index")
+    rows = materialize(read.mapInArrow(lean(measure), "doc_id long, file string, row long, n_tokens long, ids_crc32 long"), "token-index")
     before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", before.alias("before"))
     own = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
