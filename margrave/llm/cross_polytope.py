@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from margrave.llm.common import materialize
-from margrave.llm.textops import trimmed
+from margrave.llm.textops import lean, trimmed
 
 #: Tables; rounds of sign flips and Hadamard transform that make a pseudo-rotation.
 TABLES, ROUNDS = 16, 3
@@ -81,15 +81,19 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, vector number, product) of the k best of x for each q, ties to the smaller id, its own id left out."""
     rows, cols, scores = [], [], []
+    again = len(ids) - len(np.unique(ids))  # rows whose id another row has: that many more rows surely hold k ids
     step = max(1, (1 << 21) // max(1, len(x)))
     for lo in range(0, len(q), step):
         g = q[lo : lo + step] @ x.T
         g[q_ids[lo : lo + step, None] == ids[None, :]] = -np.inf
-        least = np.partition(g, -k, axis=1)[:, -k] if len(x) > k else np.full(len(g), -np.inf)
+        least = np.partition(g, -k - again, axis=1)[:, -k - again] if len(x) > k + again else np.full(len(g), -np.inf)
         r, c = np.nonzero((g >= least[:, None] - SLACK) & np.isfinite(g))
         s = np.concatenate([np.zeros(0), *[(q[lo + r[i : i + 50_000]] * x[c[i : i + 50_000]]).sum(1) for i in range(0, len(r), 50_000)]])
         by = np.lexsort((ids[c], -s, r))
         r, c, s = r[by], c[by], s[by]
+        if again:
+            best = np.sort(np.unique(r * len(x) + np.unique(ids[c], return_inverse=True)[1], return_index=True)[1])
+            r, c, s = r[best], c[best], s[best]
         keep = np.arange(len(r)) - np.searchsorted(r, r) < k
         rows.append(r[keep] + lo)
         cols.append(c[keep])
@@ -147,8 +151,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         return run
 
     schema = f"t int, code long, id long, v {kind}"
-    placed = data.mapInArrow(hashed(1, False), schema)
-    probed = asked.mapInArrow(hashed(probes, True), schema)
+    placed = data.mapInArrow(lean(hashed(1, False)), schema)
+    probed = asked.mapInArrow(lean(hashed(probes, True)), schema)
     large = materialize(placed.groupBy("t", "code").count().where(F.col("count") > BLOCK).select("t", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "large-buckets")
     large = F.broadcast(large) if large.count() <= 1_000_000 else large  # tables * n / BLOCK rows at most
     parts = F.coalesce("parts", F.lit(1))
