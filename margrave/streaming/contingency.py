@@ -10,7 +10,8 @@ from margrave.functions.info import cmi_term
 
 def windowed_counts(events: DataFrame, time: str, *cols: str, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(start, cols, n) for a stream or a table: state is a row per open window and combination of values; later events are dropped."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = events.withColumn(time, F.col(time).cast("timestamp"))
+    rows = rows.withWatermark(time, late) if events.isStreaming else rows
     return rows.groupBy(F.window(time, window).alias("w"), *cols).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *cols, "n")
 
 
