@@ -137,9 +137,17 @@ def test_ngram_join(spark, n, percent):
     assert got == plain_components(list(enumerate(texts)), n, percent)
 
 
-def test_ngram_join_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("seed", [9, 10])
+def test_ngram_join_in_blocks(spark, monkeypatch, seed):
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 2000)
-    texts = sample(9, n=80, words=60)
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(80)]
+    texts = sample(seed, n=60, words=60)
+    for _ in range(60):  # near copies, some of them near to other copies only
+        copy = list(base if rng.random() < 0.6 else texts[-1].split(" "))
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(50)}"
+        texts.append(" ".join(copy))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(spark.createDataFrame(rows(texts), SCHEMA), 4, 85).collect()}
     assert got == plain_components(list(enumerate(texts)), 4, 85)
 
