@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from margrave.llm import fingerprints as fp
 from margrave.llm.common import materialize
 from margrave.llm.components import components
-from margrave.llm.textops import mix, slices, trimmed, utf8, windows, words
+from margrave.llm.textops import lean, mix, slices, trimmed, utf8, windows, words
 
 #: Bits of a shingle's hash in the sets that are compared.
 TOKEN_BITS = 52
 #: Bytes of sets that one task compares at once.
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 1 << 20
+#: Bytes of leaders' sets that are broadcast, else joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 #: Labels of candidates are broadcast up to this number of rows (16 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -55,7 +57,7 @@ def _fronts(row: np.ndarray, token: np.ndarray, cls: np.ndarray, take: np.ndarra
 
 
 def _links(t: pa.Table, percent: int, orders: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and the smallest document that each reaches by links among these.
+    """Documents and the smallest document that each reaches by links among these. Those marked absorbed are one component already.
 
     A breadth-first walk: a document is compared only with documents not reached yet that share a front token with
     it under every order and fit it in size; the walk ends as soon as all are reached."""
@@ -79,11 +81,15 @@ def _links(t: pa.Table, percent: int, orders: int) -> tuple[np.ndarray, np.ndarr
         n = ends - starts
         return np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
-    for first in at:
-        if root[first] >= 0:
+    absorbed = t["absorbed"].to_numpy() if "absorbed" in t.column_names else np.zeros(len(sets), bool)
+    begins = [at[absorbed[at]], *at[~absorbed[at], None]]
+    for own_front in begins:
+        own_front = own_front[root[own_front] < 0]
+        if not len(own_front):
             continue
-        root[first], left = first, left - 1
-        queue = [first]
+        first = own_front[0]
+        root[own_front], left = first, left - len(own_front)
+        queue = own_front.tolist()
         while queue and left:
             i = queue.pop()
             seen[:] = 0
@@ -106,6 +112,39 @@ def _links(t: pa.Table, percent: int, orders: int) -> tuple[np.ndarray, np.ndarr
     return ids, ids[root]
 
 
+def _large_groups(sets: DataFrame, percent: int, link) -> DataFrame:
+    """Links (u, v) that connect what is connected in each large group; see ngram_join."""
+    leader = F.min_by(F.struct(F.col("doc_id").alias("lead"), F.col("n").alias("lead_n"), F.col("tokens").alias("lead_tokens")), "doc_id")
+    leaders = materialize(sets.groupBy("root").agg(leader.alias("l")).select("root", "l.*"), "leaders")
+    size = leaders.agg(F.sum(F.octet_length("lead_tokens"))).first()[0]
+    met = sets.join(F.broadcast(leaders) if size <= BROADCAST_BYTES else leaders, "root")
+
+    def absorb(batches):
+        for b in batches:
+            out, last, lead = [], None, None
+            for x, n, m, tokens, lead_tokens in zip(b["lead"].to_pylist(), b["n"].to_pylist(), b["lead_n"].to_pylist(), b["tokens"].to_pylist(), b["lead_tokens"].to_pylist(), strict=True):
+                if x != last:
+                    last, lead = x, fp.unpack(lead_tokens, 0)
+                both = len(np.intersect1d(fp.unpack(tokens, 0), lead, assume_unique=True))
+                out.append(100 * both >= percent * (n + m - both))
+            keep = ["root", "doc_id", "n", "tokens", "classes", "lead"]
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(out, pa.bool_())], [*keep, "absorbed"])
+
+    marked = materialize(met.select("root", "doc_id", "n", "tokens", "classes", "lead", "lead_n", "lead_tokens").mapInArrow(lean(absorb), "root long, doc_id long, n long, tokens binary, classes binary, lead long, absorbed boolean"), "marked-sets")
+    blocks = lambda rest: F.greatest(F.lit(1), F.ceil(F.sum(F.when(rest, F.octet_length("tokens")).otherwise(0)) * 2 / BLOCK_BYTES)).cast("int")
+    deal = marked.groupBy("root").agg(blocks(F.col("absorbed")).alias("a"), blocks(~F.col("absorbed")).alias("u"))
+    dealt = marked.join(F.broadcast(deal), "root")
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("absorbed"), F.col("a")).otherwise(F.col("u"))).cast("int")
+    dealt = dealt.withColumn("own", own)
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    spot = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    absorbed_in = F.transform(every("u"), lambda j: spot("a", F.col("own"), j))
+    rest_in = F.concat(F.transform(every("a"), lambda i: spot("a", i, F.col("own"))), F.transform(every("u"), lambda j: spot("u", F.least("own", j), F.greatest("own", j))))
+    tasks = dealt.withColumn("at", F.explode(F.when(F.col("absorbed"), absorbed_in).otherwise(rest_in)))
+    pairs = tasks.select("root", "at.kind", "at.i", "at.j", "doc_id", "n", "tokens", "classes", "absorbed").groupBy("root", "kind", "i", "j").applyInArrow(trimmed(link), "u long, v long")
+    return pairs.unionByName(marked.where("absorbed").select(F.col("doc_id").alias("u"), F.col("lead").alias("v")))
+
+
 def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, orders: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Link documents whose sets of distinct n-word shingles have a Jaccard similarity of percent / 100 or more.
 
@@ -118,8 +157,10 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, orders: int = 3,
        a token of their prefixes under every such order. Prefix tokens under the first order group the
        representatives (stars around the smallest, then connected components); inside a group only pairs that pass
        the prefix filters of all orders, and the length filter, are verified, on whole sets.
-    4. A group whose sets exceed BLOCK_BYTES is dealt into blocks and every two of its blocks are compared in a task
-       of their own; components then join what the tasks found.
+    4. In a group whose sets exceed BLOCK_BYTES every set is first compared with the group's smallest document. Those
+       linked with it are one component and needn't be compared with each other; what is left, few in a group of near
+       copies, is dealt into blocks that are compared with all blocks of the group and with each other, each two in a
+       task of their own. Components then join what the tasks found.
 
     Empty, blank or null texts have no shingles and link with nothing. A null doc_id gets a null component_id and
     links with nothing. Rows of equal doc_id count as one document for components. Extra columns are ignored."""
@@ -195,23 +236,20 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, orders: int = 3,
     n_near = near.count()
     near = F.broadcast(near) if n_near <= BROADCAST_ROWS else near
     sets = described.where("tokens is not null").select("doc_id", "n", "tokens", "classes").join(near, F.col("doc_id") == F.col("node")).select("doc_id", "n", "tokens", "classes", "root")
-    large = sets.groupBy("root").agg(F.sum(F.octet_length("tokens")).alias("bytes")).where(F.col("bytes") > BLOCK_BYTES).select("root", F.ceil(F.col("bytes") * 2 / BLOCK_BYTES).alias("blocks"))
-    blocks = {r["root"]: r["blocks"] for r in large.collect()}  # total bytes / BLOCK_BYTES rows at most
+    large = sets.groupBy("root").agg(F.sum(F.octet_length("tokens")).alias("bytes")).where(F.col("bytes") > BLOCK_BYTES).select("root")
+    large = materialize(large, "large-groups")
 
     def link(t: pa.Table) -> pa.Table:
         ids, root = _links(t, percent, orders)
         return pa.table({"u": pa.array(ids, pa.int64()), "v": pa.array(root, pa.int64())})
 
-    if blocks:
-        table = sets.sparkSession.createDataFrame(list(blocks.items()), "root long, blocks long")
-        own = F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1)))
-        other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-        dealt = sets.join(F.broadcast(table), "root", "left").withColumn("own", own).withColumn("other", other)
-        dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-        linked = dealt.groupBy("root", "i", "j").applyInArrow(trimmed(link), "u long, v long")
-        linked = components(linked).select(F.col("node").alias("rep"), F.col("root").alias("component"))
+    few = F.broadcast(large)  # total bytes / BLOCK_BYTES rows at most
+    linked = sets.join(few, "root", "left_anti").groupBy("root").applyInArrow(trimmed(link), "u long, v long")
+    if large.isEmpty():
+        linked = linked.groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("component"))
     else:
-        linked = sets.groupBy("root").applyInArrow(trimmed(link), "u long, v long").groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("component"))
+        linked = linked.unionByName(_large_groups(sets.join(few, "root", "left_semi"), percent, link))
+        linked = components(linked).select(F.col("node").alias("rep"), F.col("root").alias("component"))
     own = reps.join(linked, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     whole = described.select("doc_id", "n", "sig").join(own, "sig", "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
