@@ -231,3 +231,33 @@ def test_streaming_counts(spark, tmp_path, small):
     q.stop()
     assert spark.table("counts").exceptAll(windowed_counts(events, "ts", "event_type", window="1 day")).isEmpty()
     assert windowed_mi(windowed_counts(events.withColumn("b", F.col("value") > 50), "ts", "event_type", "b"), "event_type", "b").where("mi < -1e-12").isEmpty()
+
+
+def test_harness(spark):
+    from margrave.operators.citest import CITestConfig
+    from margrave.plans import harness
+
+    net = garden()
+    data = net.sample(spark, 20_000, seed=8).cache()
+    rows = {r.algorithm: r for r in harness.accuracy(spark, net, data, CITestConfig(significance=0.99, strategy="cuboid")).collect()}
+    assert rows["ipcmb"].recall > 0.8 and rows["ipcmb"].accuracy > 0.8 and rows["iamb"].precision > 0.8
+    by = {r["strategy"]: r for r in harness.strategies(data, net.names)}
+    assert by["direct"]["tests"] == by["entropy"]["tests"] and by["entropy"]["misses"] < by["entropy"]["reads"]
+    stats = harness.cuboid_stats(data, net.names)
+    assert stats["rows"] == 20_000 and stats["cells"] <= 48
+    assert harness.run_id("ds", "garden", "ipcmb", 3, 40_000) == "ds_garden_4e4_ipcmb_T3" and harness.sample_count("4e4") == 40_000
+    with pytest.raises(ValueError):
+        harness.sample_count("many")
+
+
+def test_command_line(spark, tmp_path, capsys, small):
+    from margrave.__main__ import main
+
+    main(["folder", "lock", str(tmp_path), "x", "--kind", "a"])
+    main(["folder", "list", str(tmp_path)])
+    assert capsys.readouterr().out == "x a\n"
+    main(["folder", "unlock", str(tmp_path), "x", "--kind", "a"])
+    main(["folder", "delete", str(tmp_path), "x"])
+    assert not (tmp_path / "x").exists()
+    main(["boundary", f"{small}/lineitem.parquet", "--columns", "l_returnflag,l_linestatus,l_linenumber", "--targets", "l_returnflag"])
+    assert capsys.readouterr().out.startswith('{"l_returnflag": [')
