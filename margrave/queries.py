@@ -15,6 +15,7 @@ from margrave.operators import counts as ct
 from margrave.operators import information as inf
 from margrave.operators.bayesnet import path_frame
 from margrave.operators.citest import CITestConfig, CITester, Request, disagreements
+from margrave.operators.cuboids import CuboidCache
 from margrave.plans.boundary import iamb, information_gain_ranking, ipcmb, ipcmb_all, pcmb
 from margrave.sources.base import IdentitySource
 from margrave.sources.bif import parse_bif
@@ -161,6 +162,20 @@ def domains(spark, d):
     return ct.domains(table(spark, d, "lineitem"), "l_returnflag", "l_linenumber")
 
 
+@query("SELECT l_linestatus, l_returnflag, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS p FROM lineitem GROUP BY 1, 2")
+def cuboid_rollup_pmf(spark, d):
+    cache = CuboidCache(table(spark, d, "lineitem", *CATEGORIES), CATEGORIES)
+    cache.build([CATEGORIES[:4]])
+    return rounded(cache.pmf(*FLAGS))
+
+
+@query("SELECT count(*) FILTER (l_returnflag = 'A' AND l_linenumber = 1) AS n, round(count(*) FILTER (l_returnflag = 'A' AND l_linenumber = 1) / count(*) FILTER (l_linenumber = 1), 9) AS p FROM lineitem")
+def cuboid_query(spark, d):
+    cache = CuboidCache(table(spark, d, "lineitem", *CATEGORIES), CATEGORIES)
+    both = {"l_returnflag": "A", "l_linenumber": 1}
+    return spark.createDataFrame([(cache.query_count(both), round(cache.query({"l_returnflag": "A"}, {"l_linenumber": 1}), 9))], "n long, p double")
+
+
 # Algebra of contingency tables.
 
 
