@@ -11,8 +11,8 @@ from margrave.llm.common import ascii_lower, materialize
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a shingle.
 SHINGLE = 3
-#: Item shingles, and documents with candidates, are broadcast up to this number of rows, else joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Hashes of item shingles, starts of candidates, and texts of windows are broadcast up to these numbers, else joined by shuffle.
+BROADCAST_HASHES, BROADCAST_STARTS, BROADCAST_WINDOWS = 1_000_000, 1_000_000, 200_000
 
 
 def words(text: Column) -> Column:
@@ -25,8 +25,10 @@ def _shingles(ws: Column, size: int) -> Column:
     return F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(F.lit(size), *[ws[i + j] for j in range(size)]))).otherwise(F.array().cast("array<long>"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, most: int, size: Column | None = None) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows, or items as size counts them."""
+    n = df.count() if size is None else df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= most else df
 
 
 def decontaminate(
@@ -64,21 +66,21 @@ def decontaminate(
         met = own.select("key", F.size("ws").alias("n"), F.posexplode(_shingles(F.col("ws"), sizes[0])).alias("pos", "h"))
     else:
         met = own.select("key", F.size("ws").alias("n"), F.explode(tokens).alias("t")).select("key", "n", "t.pos", "t.h")
-    met = materialize(met.join(_small(pieces.select("h").distinct()), "h", "left_semi"), "met-shingles")
+    met = materialize(met.join(_small(pieces.select("h").distinct(), BROADCAST_HASHES), "h", "left_semi"), "met-shingles")
 
     often = met.groupBy("h").agg(F.count("*").alias("df"))
-    ranked = pieces.join(F.broadcast(often) if pieces.count() <= BROADCAST_ROWS else often, "h", "left")
+    ranked = pieces.join(_small(often, BROADCAST_HASHES), "h", "left")
     prefix = ranked.groupBy("win", "len").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "at")).alias("least")).where("least.df > 0")
     prefix = materialize(prefix.select("len", F.col("least.h").alias("h"), F.col("least.at").alias("at")).distinct(), "prefixes")
     start = F.col("pos") - F.col("at")
-    starts = met.join(_small(prefix), "h").where((start >= 0) & (start + F.col("len") <= F.col("n"))).select("key", start.alias("start"), "len").distinct()
+    starts = met.join(_small(prefix, BROADCAST_HASHES), "h").where((start >= 0) & (start + F.col("len") <= F.col("n"))).select("key", start.alias("start"), "len").distinct()
     by_doc = materialize(starts.groupBy("key").agg(F.collect_list(F.struct("start", "len")).alias("cands")), "candidates")
     text_at = F.transform("cands", lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"), F.array_join(F.slice("ws", c["start"] + 1, c["len"]), " ").alias("win")))
-    found = materialize(own.join(_small(by_doc), "key", "left").select("doc_id", "key", F.size("ws").cast("long").alias("n_words"), text_at.alias("found")), "found")
+    found = materialize(own.join(_small(by_doc, BROADCAST_STARTS, F.size("cands")), "key", "left").select("doc_id", "key", F.size("ws").cast("long").alias("n_words"), text_at.alias("found")), "found")
 
     hits = found.where("found is not null").select("key", F.explode("found").alias("f")).select("key", "f.*").distinct()
     by_win = windows.groupBy("win").agg(F.collect_set("item").alias("items"))
-    hits = hits.join(_small(by_win), "win")
+    hits = hits.join(_small(by_win, BROADCAST_WINDOWS), "win")
     spans = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))))
     per_doc = hits.groupBy("key").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"))
     per_doc = per_doc.select("key", spans.cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
