@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="margrave-")
+        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -48,10 +52,6 @@ def ascii_lower(c: Column) -> Column:
 
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, where it isn't installed there, and Arrow batches of texts a size that fits them."""
-    import atexit
-    import shutil
-    from pathlib import Path
-
     if spark.conf.get(BATCH) == "10000":  # the default, meant for rows of a few numbers
         spark.conf.set(BATCH, str(BATCH_ROWS))
     sc = spark.sparkContext
