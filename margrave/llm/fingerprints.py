@@ -19,48 +19,55 @@ from pyspark.sql import functions as F
 from margrave.llm.common import partitions, total_bytes
 from margrave.llm.textops import trimmed
 
+#: Bytes of text of a group of documents, and of a hash bucket's share of all texts; quantiles of ids that cut groups.
 GROUP_BYTES = 2 << 20
 BUCKET_BYTES = 32 << 20
+CUTS = 2048
 
 
-def pack(sorted_hashes: np.ndarray, base: int) -> bytes:
-    """Differences of ascending hashes in as few bytes each as the largest needs; base: at most the first."""
-    d = np.diff(sorted_hashes, prepend=np.uint64(base))
-    width = max(1, (int(d.max()).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+def pack(hashes: np.ndarray) -> bytes:
+    """Ascending hashes, one at least: the first, then differences in as few bytes each as the largest needs."""
+    d = np.diff(hashes)
+    width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
+    return bytes([width]) + hashes[:1].astype("<u8").tobytes() + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def unpack(blob: bytes, base: int) -> np.ndarray:
-    width, raw = blob[0], np.frombuffer(blob, np.uint8, offset=1)
-    d = np.zeros((len(raw) // width, 8), np.uint8)
-    d[:, :width] = raw.reshape(-1, width)
-    out = d.view("<u8").reshape(-1)
-    out[0] += np.uint64(base)
-    return np.add.accumulate(out)
+def unpack(blob: bytes) -> np.ndarray:
+    width, raw = blob[0], np.frombuffer(blob, np.uint8, offset=9)
+    d = np.zeros((1 + len(raw) // width, 8), np.uint8)
+    d[0] = np.frombuffer(blob, np.uint8, 8, 1)
+    d[1:, :width] = raw.reshape(-1, width)
+    return np.add.accumulate(d.view("<u8").reshape(-1))
 
 
-def bucket_starts(n: int, bits: int = 64) -> np.ndarray:
-    """Lower bounds of n ranges of equal size, of hashes of so many bits."""
-    return np.array([(i << bits) // n for i in range(n)], dtype=np.uint64)
+def bucket_of(hashes: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Which of n hash ranges of equal size each hash of so many bits, 32 at least, lies in; n is under 2^32."""
+    return ((hashes >> np.uint64(bits - 32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """(doc_id, text, g) with g growing with doc_id, and the number of hash buckets for them.
 
-    g comes from approximate quantiles of the ids, so that groups have like numbers of rows; equal ids share a
-    group, and null ids make group -1. Sizes follow the bytes of text, so a group fits one task at any scale."""
+    g comes from approximate quantiles of the ids, so that groups have like numbers of rows, and, if more than CUTS
+    groups are wanted, from equal steps between two quantiles. Equal ids share a group, and null ids make group -1.
+    Sizes follow the bytes of text, so a group fits one task at any scale."""
     from pyspark.ml.feature import Bucketizer
 
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     size, p = total_bytes(own, "text"), partitions(spark)
     n_groups, n_buckets = max(2 * p, size // GROUP_BYTES), max(2 * p, size // BUCKET_BYTES)
-    cuts = own.select(F.percentile_approx("doc_id", F.array(*[F.lit(i / n_groups) for i in range(1, n_groups)]) if n_groups > 1 else F.array(F.lit(0.5)), 10 * n_groups).alias("q")).first()["q"]
-    bounds = sorted({float(x) for x in cuts or []})
+    n_cuts = max(2, min(n_groups, CUTS))
+    steps = -(-n_groups // n_cuts)
+    first = own.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / n_cuts) for i in range(1, n_cuts)]), 10 * n_cuts).alias("q"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    bounds = sorted({float(x) for x in first["q"] or []})
     if bounds:
         cut = Bucketizer(splits=[-np.inf, *bounds, np.inf], inputCol="_id", outputCol="_g", handleInvalid="keep")
         out = cut.transform(own.withColumn("_id", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0))))
-        g = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("_g").cast("int"))
+        low, high = (F.get(F.array(*[F.lit(x) for x in ends]), F.col("_g").cast("int")) for ends in ([float(first["lo"]), *bounds], [*bounds, float(first["hi"])]))
+        step = F.floor((F.col("_id") - low) * steps / F.greatest(high - low, F.lit(1.0))) if steps > 1 else F.lit(0)
+        inside = F.greatest(F.lit(0), F.least(step, F.lit(steps - 1)))
+        g = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise((F.col("_g").cast("int") * steps + inside).cast("int"))
     else:
         out, g = own, F.lit(-1)
     return out.select("doc_id", "text", g.alias("g")), int(n_buckets)
@@ -71,17 +78,16 @@ ANSWERS = "g int, b int, answer binary"
 
 def send(groups: DataFrame, n_buckets: int, hashes: Callable[[pa.Table], tuple[np.ndarray, np.ndarray | None]], bits: int = 64) -> DataFrame:
     """One row (g, b, keys, extra) per group and bucket. hashes(documents of a group): its distinct hashes ascending, and a byte each or None."""
-    starts = bucket_starts(n_buckets, bits)
 
     def emit(t: pa.Table) -> pa.Table:
         g, (h, extra) = t["g"][0].as_py(), hashes(t)
-        at = [*np.searchsorted(h, starts), len(h)]
-        rows = [(b, int(at[b]), int(at[b + 1])) for b in range(n_buckets) if at[b + 1] > at[b]]
+        bucket, first = np.unique(bucket_of(h, n_buckets, bits), return_index=True)
+        rows = list(zip(bucket.tolist(), first.tolist(), [*first[1:].tolist(), len(h)]))
         return pa.table(
             {
                 "g": pa.array([g] * len(rows), pa.int32()),
                 "b": pa.array([b for b, *_ in rows], pa.int32()),
-                "keys": pa.array([pack(h[i:j], int(starts[b])) for b, i, j in rows], pa.binary()),
+                "keys": pa.array([pack(h[i:j]) for _, i, j in rows], pa.binary()),
                 "extra": pa.array([b"" if extra is None else zlib.compress(extra[i:j].tobytes(), 1) for _, i, j in rows], pa.binary()),
             }
         )
@@ -89,14 +95,13 @@ def send(groups: DataFrame, n_buckets: int, hashes: Callable[[pa.Table], tuple[n
     return groups.groupBy("g").applyInArrow(trimmed(emit), "g int, b int, keys binary, extra binary")
 
 
-def answer(sent: DataFrame, n_buckets: int, reply: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], bits: int = 64) -> DataFrame:
+def answer(sent: DataFrame, reply: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """ANSWERS. reply(run starts of equal hashes in sorted order, order, extra by entry) gives a uint8 code by entry; entries come by ascending g."""
-    starts = bucket_starts(n_buckets, bits)
 
     def solve(t: pa.Table) -> pa.Table:
         b, order = t["b"][0].as_py(), np.argsort(t["g"].to_numpy(), kind="stable")
         gs, keys, extras = t["g"].to_numpy()[order], t["keys"].to_pylist(), t["extra"].to_pylist()
-        parts = [unpack(keys[i], int(starts[b])) for i in order]
+        parts = [unpack(keys[i]) for i in order]
         extra = np.concatenate([np.frombuffer(zlib.decompress(extras[i]), np.uint8) if extras[i] else np.zeros(len(p), np.uint8) for i, p in zip(order, parts, strict=True)])
         ends, h = np.cumsum([len(p) for p in parts]), np.concatenate(parts)
         by = np.argsort(h, kind="stable")

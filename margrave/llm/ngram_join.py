@@ -63,7 +63,7 @@ def _links(t: pa.Table, percent: int, orders: int) -> tuple[np.ndarray, np.ndarr
     it under every order and fit it in size; the walk ends as soon as all are reached."""
     ids, size = t["doc_id"].to_numpy(), t["n"].to_numpy()
     at = np.argsort(ids, kind="stable")
-    sets = [fp.unpack(b, 0) for b in t["tokens"].to_pylist()]
+    sets = [fp.unpack(b) for b in t["tokens"].to_pylist()]
     cls = np.concatenate([np.frombuffer(b, np.uint8) for b in t["classes"].to_pylist()])
     length = np.array([len(s) for s in sets])
     begin = np.concatenate([[0], np.cumsum(length)])
@@ -124,8 +124,8 @@ def _large_groups(sets: DataFrame, percent: int, link) -> DataFrame:
             out, last, lead = [], None, None
             for x, n, m, tokens, lead_tokens in zip(b["lead"].to_pylist(), b["n"].to_pylist(), b["lead_n"].to_pylist(), b["tokens"].to_pylist(), b["lead_tokens"].to_pylist(), strict=True):
                 if x != last:
-                    last, lead = x, fp.unpack(lead_tokens, 0)
-                both = len(np.intersect1d(fp.unpack(tokens, 0), lead, assume_unique=True))
+                    last, lead = x, fp.unpack(lead_tokens)
+                both = len(np.intersect1d(fp.unpack(tokens), lead, assume_unique=True))
                 out.append(100 * both >= percent * (n + m - both))
             keep = ["root", "doc_id", "n", "tokens", "classes", "lead"]
             yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(out, pa.bool_())], [*keep, "absorbed"])
@@ -212,7 +212,7 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, orders: int = 3,
             edge = np.searchsorted(r, np.arange(m + 1))
             for i in np.flatnonzero(take):
                 s = slice(edge[i], edge[i + 1])
-                tokens[i], cls_out[i] = fp.pack(hh[s], 0), cc[s].tobytes()
+                tokens[i], cls_out[i] = fp.pack(hh[s]), cc[s].tobytes()
                 front[i] = (hh[s][at_front[s]] >> _U(TOKEN_BITS - 40)).astype(np.int64)
         return pa.table(
             {
@@ -225,7 +225,7 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, orders: int = 3,
             }
         )
 
-    answers = fp.answer(fp.send(groups, n_buckets, counted, bits), n_buckets, classes, bits)
+    answers = fp.answer(fp.send(groups, n_buckets, counted, bits), classes)
     described = materialize(
         groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(trimmed(describe), "doc_id long, n long, sig binary, tokens binary, classes binary, front array<long>"), "shingle-sets"
     )

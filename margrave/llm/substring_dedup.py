@@ -79,7 +79,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
         )
 
     groups, n_buckets = fp.grouped(docs, id_col, text_col)
-    answers = fp.answer(fp.send(groups, n_buckets, distinct), n_buckets, seen_before)
+    answers = fp.answer(fp.send(groups, n_buckets, distinct), seen_before)
     return groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(trimmed(delete), "doc_id long, n_words long, n_removed long, kept_text string, removed array<array<int>>")
 
 

@@ -1,6 +1,5 @@
 """Substring dedup, line dedup and the n-gram join against plain versions."""
 
-import hashlib
 import itertools
 import random
 import re
@@ -186,5 +185,17 @@ def test_words_follow_the_pattern():
 
 def test_packed_hashes_come_back():
     h = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64))
-    assert (fingerprints.unpack(fingerprints.pack(h, int(h[0])), int(h[0])) == h).all()
-    assert hashlib.sha256(b"").hexdigest()  # the digest of nothing is defined
+    for part in (h, h[:1], h[:2], h[500:]):
+        assert (fingerprints.unpack(fingerprints.pack(part)) == part).all()
+    bucket = fingerprints.bucket_of(h, 7, 64)
+    assert (np.diff(bucket) >= 0).all() and bucket.max() < 7
+
+
+def test_groups_follow_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "CUTS", 3)
+    monkeypatch.setattr(fingerprints, "GROUP_BYTES", 10)
+    ids = [*range(0, 1000, 7), *range(10**12, 10**12 + 50), -5, -5, None]
+    groups, _ = fingerprints.grouped(spark.createDataFrame([(i, "x" * 30) for i in ids], "doc_id long, text string"), "doc_id", "text")
+    got = sorted((r.doc_id, r.g) for r in groups.collect() if r.doc_id is not None)
+    assert all(a[1] <= b[1] for a, b in itertools.pairwise(got)) and len({g for _, g in got}) > 20
+    assert [r.g for r in groups.where("doc_id is null").collect()] == [-1] and groups.where("doc_id = -5").select("g").distinct().count() == 1
