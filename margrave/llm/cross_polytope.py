@@ -19,6 +19,10 @@ TABLES, ROUNDS = 16, 3
 BLOCK = 8192
 #: Products this close to the worst one kept are computed again, each in the same order of additions.
 SLACK = 1e-9
+#: Queries whose true neighbours are looked up to set the probes, and the share of these that the probes must reach.
+PILOT, RECALL = 64, 0.95
+#: A query's row in a bucket costs as much as so many products.
+ROW_COST = 500
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -40,7 +44,9 @@ def rotated(x: np.ndarray, table: int, function: int) -> np.ndarray:
 
 
 def codes(x: np.ndarray, table: int, functions: int, probes: int) -> np.ndarray:
-    """The probes best codes of each row in a table, best first: nearest signed axes under each function, joined by the sum of coordinates."""
+    """The probes best codes of each row in a table, best first: nearest signed axes under each function, joined by the sum of coordinates. No function: one code for all."""
+    if not functions:
+        return np.zeros((len(x), 1), np.int64)
     best, total = None, None
     for f in range(functions):
         z = rotated(x, table, f)
@@ -51,21 +57,54 @@ def codes(x: np.ndarray, table: int, functions: int, probes: int) -> np.ndarray:
         if best is None:
             best, total = top.astype(np.int64), value
         else:
-            total = (total[:, :, None] + value[:, None, :]).reshape(len(x), -1)
-            best = (best[:, :, None] * both.shape[1] + top[:, None, :]).reshape(len(x), -1)
+            by = np.argsort(-value, axis=1, kind="stable")
+            top, value = np.take_along_axis(top, by, 1), np.take_along_axis(value, by, 1)
+            # the i-th best with the j-th best can be among the probes best only if i * j <= probes
+            i, j = np.nonzero(np.arange(1, best.shape[1] + 1)[:, None] * np.arange(1, take + 1) <= probes)
+            best, total = best[:, i] * both.shape[1] + top[:, j], total[:, i] + value[:, j]
         order = np.argsort(-total, axis=1, kind="stable")[:, :probes]
         best, total = np.take_along_axis(best, order, 1), np.take_along_axis(total, order, 1)
     return best
 
 
-def tuning(n: int) -> tuple[int, int]:
-    """(functions, probes) for n vectors.
+def tuning(n: int, axes: int = 256) -> tuple[int, int]:
+    """(functions at most, probes at least) for n vectors and so many axes to a function, which are 2 * width.
 
-    A table has 2 * width axes to each function: one function keeps buckets small up to a million vectors. The fewer
-    the vectors, the farther a query's 20th neighbour and the more probes it takes to meet it: 33 of 256 axes
-    at 500 vectors, 9 at 10,000, 5 at 50,000, 4 at least; all of them up to 64 vectors."""
+    One function keeps buckets small up to 4096 * axes vectors; beyond that two may cost less. The fewer the vectors,
+    the farther a query's 20th neighbour and the more probes it takes to meet it: of 256 axes 33 at 500 vectors, 9 at
+    10,000, 5 at 50,000, 4 at least, of more axes the same share; all of them up to 64 vectors. How many probes the
+    data need beyond that is measured, see needed."""
     n = max(n, 1)
-    return max(1, math.ceil(math.log(n / 4096, 256))) if n > 4096 else 1, max(4, math.ceil(16 - 1.7 * math.log2(n / 500)), math.ceil(64 * 256 / n))
+    probes = max(4, math.ceil(16 - 1.7 * math.log2(n / 500)), math.ceil(64 * 256 / n))
+    return 2 if n > 4096 * axes else 1, max(probes, math.ceil(probes * axes / 256))
+
+
+def needed(q: np.ndarray, x: np.ndarray, of: np.ndarray, tables: int, functions: int, recall: float = RECALL) -> int:
+    """Probes by which the share `recall` of the pairs (q[of[i]], x[i]), filled up to the width, meet in a table; one or two functions."""
+    if not len(x):
+        return 1
+    place = np.full(len(x), np.iinfo(np.int64).max)
+    for t in range(tables):
+        code, sides = codes(x, t, functions, 1)[:, 0], []
+        for f in range(functions):
+            z = rotated(q, t, f)
+            sides.append(np.concatenate([z, -z], 1))
+        axes = sides[0].shape[1]
+        behind = np.sort(sides[-1], axis=1)
+        for i, (c, k) in enumerate(zip(code.tolist(), of.tolist(), strict=True)):
+            if functions == 1:
+                ahead = axes - np.searchsorted(behind[k], sides[0][k, c], "right")
+            else:
+                total = sides[0][k, c // axes] + sides[1][k, c % axes]
+                ahead = (axes - np.searchsorted(behind[k], total - sides[0][k], "right")).sum()
+            place[i] = min(place[i], ahead)
+    return int(np.sort(place)[math.ceil(recall * len(place)) - 1]) + 1
+
+
+def cost(n: int, axes: int, tables: int, functions: int, probes: int) -> float:
+    """A query's products and rows, these at ROW_COST, if buckets are alike."""
+    bucket = n / axes**functions
+    return tables * probes * (bucket + ROW_COST * math.ceil(bucket / BLOCK))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -101,12 +140,48 @@ def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: i
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
 
 
+def _pilot(data: DataFrame, asked: DataFrame, k: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """PILOT of the queries, by hash of their ids, their exact k nearest vectors, and the query of each of these. Every task passes on k vectors a query."""
+    some = asked.orderBy(F.xxhash64(F.lit(6), "id"), "id").limit(PILOT).toArrow()
+    if not some.num_rows:
+        return np.zeros((0, d)), np.zeros((0, d)), np.zeros(0, np.int64)
+    q_ids, q = some["id"].to_numpy(), _matrix(some["v"].combine_chunks() if some["v"].num_chunks != 1 else some["v"].chunk(0), d)
+    given = data.sparkSession.sparkContext.broadcast((q_ids, q))
+
+    def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q = given.value
+        best, found = np.full((len(q), 0), 0.0), np.zeros((len(q), 0, d))
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                x = _matrix(part["v"], d)
+                g = q @ x.T
+                g[q_ids[:, None] == part["id"].to_numpy()[None, :]] = -np.inf
+                both = np.concatenate([best, g], 1)
+                top = np.argsort(-both, axis=1, kind="stable")[:, :k]
+                old, fresh = np.minimum(top, max(best.shape[1] - 1, 0)), np.maximum(top - best.shape[1], 0)
+                found = np.where((top < best.shape[1])[:, :, None], np.take_along_axis(found, old[:, :, None], 1), x[fresh]) if best.shape[1] else x[fresh]
+                best = np.take_along_axis(both, top, 1)
+        r, c = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(best[r, c]), pa.array(list(found[r, c]), pa.list_(pa.float64()))], ["q", "s", "v"])
+
+    order = F.row_number().over(Window.partitionBy("q").orderBy(F.col("s").desc()))
+    near = data.mapInArrow(lean(closest), "q int, s double, v array<double>").withColumn("rank", order).where(F.col("rank") <= k).select("q", "v").toArrow()
+    if not near.num_rows:
+        return q, np.zeros((0, d)), np.zeros(0, np.int64)
+    return q, _matrix(near["v"].combine_chunks() if near["v"].num_chunks != 1 else near["v"].chunk(0), d), near["q"].to_numpy()
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, probes: int | None = None, functions: int | None = None) -> DataFrame:
     """The k vectors with the largest inner product found for each query: query_id, rank (from 1), vec_id, score.
 
     Inner products become cosines by one more coordinate: vectors are divided by the largest norm and filled up
     to length 1, queries get 0 there. Both are turned by fast Hadamard pseudo-rotations, several tables of them; a
     vector goes to the bucket of its nearest signed axis in each table, a query to those of its `probes` nearest.
+    Unless given, the probes are as many as reach RECALL of the exact k nearest of PILOT queries, which one pass over
+    the vectors finds, and no fewer than in tuning; the driver holds PILOT * k vectors for that. Where two functions
+    are possible, the cheaper number is taken, each at the probes it needs. A query that would have to visit as many
+    buckets as there are vectors is compared with all of them instead.
     Buckets rank their vectors exactly, in double precision on the original vectors; each query's best are merged.
 
     A bucket of more than BLOCK vectors is dealt out by a salt to as many tasks as it needs, its queries to all.
@@ -126,21 +201,37 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     stats = data.agg(F.count("*").alias("n"), F.max(square).alias("m"), F.max(F.size("v")).alias("d")).first()
     n, d, longest = stats["n"], max(stats["d"] or 1, asked.agg(F.max(F.size("v"))).first()[0] or 1), math.sqrt(stats["m"] or 1.0)
     width = 1 << max(1, int(d).bit_length())
-    own_functions, own_probes = tuning(n)
-    functions, probes = functions or own_functions, min(probes or own_probes, (2 * width) ** (functions or own_functions))
+    axes = 2 * width
+
+    def filled(x: np.ndarray, is_query: bool) -> np.ndarray:
+        z = np.zeros((len(x), width))
+        if is_query:
+            z[:, :d] = x / np.linalg.norm(x, axis=1, keepdims=True)
+        else:
+            z[:, :d] = x / longest
+            z[:, d] = np.sqrt(np.maximum(0, 1 - (z * z).sum(1)))
+        return z
+
+    most, least = tuning(n, axes)
+    own = probes is None
+    if own and tables * least < n:
+        q, x, of = _pilot(data, asked, k, d)
+        q, x = filled(q, True), filled(x, False)
+        choices = [(f, max(least, needed(q, x, of, tables, f))) for f in ([functions] if functions else range(1, most + 1))]
+        functions, probes = min(choices, key=lambda c: cost(n, axes, tables, *c))
+    functions = functions or most
+    probes = min(probes or least, axes**functions)
+    if own and tables * probes >= n:
+        tables, functions, probes = 1, 0, 1
 
     def hashed(m: int, is_query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for lo in range(0, b.num_rows, 1024):
-                    part = b.slice(lo, 1024)
+                step = max(1, min(1024, (1 << 16) // m))
+                for lo in range(0, b.num_rows, step):
+                    part = b.slice(lo, step)
                     x = _matrix(part["v"], d)
-                    z = np.zeros((len(x), width))
-                    if is_query:
-                        z[:, :d] = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    else:
-                        z[:, :d] = x / longest
-                        z[:, d] = np.sqrt(np.maximum(0, 1 - (z * z).sum(1)))
+                    z = filled(x, is_query)
                     for t in range(tables):
                         c = codes(z, t, functions, m)
                         row = pa.array(np.repeat(np.arange(len(x)), c.shape[1]))

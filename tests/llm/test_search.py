@@ -70,6 +70,33 @@ def test_two_functions_and_hadamard():
     assert cross_polytope.tuning(10**7)[0] == 2 and cross_polytope.tuning(50)[1] >= 256
 
 
+@pytest.mark.parametrize(("pad", "functions"), [(1100, None), (64, 2)])
+def test_recall_of_wide_vectors_and_two_functions(spark, pad, functions):
+    x = np.concatenate([np.random.default_rng(7).normal(size=(600, 64)), np.zeros((600, pad - 64))], 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in cross_polytope.nearest(df, df.where("vec_id % 20 = 0"), 20, functions=functions).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(x, np.arange(600), np.arange(0, 600, 20), 20)
+    assert sum(len(got[q] & set(v)) for q, v in want.items()) >= 0.9 * 20 * len(want)
+
+
+def test_probes_are_the_best_and_as_many_as_needed():
+    x = np.random.default_rng(4).normal(size=(40, 8))
+    y = np.repeat(x, 3, 0) + 0.3 * np.random.default_rng(5).normal(size=(120, 8))
+    of = np.repeat(np.arange(40), 3)
+    z = [np.concatenate([r, -r], 1) for r in (cross_polytope.rotated(x, 0, f) for f in range(2))]
+    every = (z[0][:, :, None] + z[1][:, None, :]).reshape(40, 256)
+    assert np.allclose(np.take_along_axis(every, cross_polytope.codes(x, 0, 2, 30), 1), -np.sort(-every, axis=1)[:, :30])
+    for f in (1, 2):
+        p = cross_polytope.needed(x, y, of, 2, f)
+        met = lambda m: np.any([(cross_polytope.codes(x, t, f, m)[of] == cross_polytope.codes(y, t, f, 1)).any(1) for t in range(2)], 0).mean()
+        assert p > 1 and met(p) >= cross_polytope.RECALL > met(p - 1)
+    # either side of the switch one function is the cheaper, if it takes few probes
+    assert cross_polytope.tuning(1_048_576)[0] == 1 and cross_polytope.tuning(1_048_577)[0] == 2 and cross_polytope.tuning(1_048_577, 4096)[0] == 1
+    assert cross_polytope.cost(1_100_000, 256, 16, 1, 8) < cross_polytope.cost(1_100_000, 256, 16, 2, 601)
+
+
 def test_held_out_is_crc32(spark):
     got = spark.range(50).select("id", quality_knn.held_out(__import__("pyspark").sql.functions.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
