@@ -1,4 +1,7 @@
-"""Masked pseudo-likelihood: a bidirectional window network predicts every token from both of its sides."""
+"""Masked pseudo-likelihood: a bidirectional window network predicts every token from both of its sides.
+
+The network's classes are the most frequent words, and buckets of all others; a word's share of its bucket comes from the
+counts of the whole corpus, which stay a table."""
 
 from __future__ import annotations
 
@@ -19,6 +22,8 @@ WORDS, BUCKETS, CLUSTERS, CLUSTER = 960, 64, 32, 32
 CONTEXT, HIDDEN, STEP, RATE = (-2, -1, 1, 2), 16, 8192, 0.08
 #: Parts in which workers' weights are averaged.
 PARTS = 16
+#: Added to the count of each word of a bucket, and of one never seen.
+ADDED = 0.5
 _V = WORDS + BUCKETS
 
 
@@ -29,6 +34,11 @@ class Network:
     table: np.ndarray  # of the vocabulary: word hashes ascending
     token: np.ndarray  # and their tokens
     weights: list[np.ndarray]
+    counts: DataFrame | None = None  # of all words outside the vocabulary: h (hash), n; workers don't get it
+    totals: np.ndarray | None = None  # of each bucket: its words' counts and one unseen word's, each with ADDED
+
+    def __getstate__(self):
+        return self.__dict__ | {"counts": None}
 
     @classmethod
     def initial(cls, hashes: np.ndarray, counts: np.ndarray, others: float) -> Network:
@@ -122,7 +132,7 @@ class Network:
         for w in self.weights:
             out.append(flat[at : at + w.size].reshape(w.shape).astype(np.float32))
             at += w.size
-        return Network(self.table, self.token, out)
+        return Network(self.table, self.token, out, self.counts, self.totals)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -137,12 +147,17 @@ def _words(batch: pa.RecordBatch):
         yield lo, hi, words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower=True)
 
 
+def _bucket(h: str):
+    return F.col(h).bitwiseAND(F.lit(BUCKETS - 1))
+
+
 def train(docs: DataFrame, text_col: str = "text", rounds: int = 1) -> Network:
     """Fit the network to every token of every document.
 
-    Words are counted over the corpus; the WORDS most frequent are the vocabulary. In each round every task walks
+    Words are counted over the corpus; the WORDS most frequent are the vocabulary, the counts of all others stay a
+    table that grows with the corpus (Network.counts). In each round every task walks
     over all its tokens from the common weights; its weights, and how many tokens they saw, are averaged by a
-    shuffle in PARTS parts. The driver holds one network (about 0.4 MB), whatever the input."""
+    shuffle in PARTS parts. The driver holds one network (about 0.4 MB) and the buckets' totals."""
     own = docs.select(F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +172,11 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = 1) -> Network:
     every = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     net = Network.initial(hashes[by], n[by], float(every - n.sum()))
     spark = docs.sparkSession
+    known = F.broadcast(spark.createDataFrame(pa.table({"h": top["h"]})))
+    net.counts = materialize(counts.join(known, "h", "left_anti"), "other-words")
+    net.totals = np.full(BUCKETS, ADDED)
+    for b, count_of, kinds in net.counts.groupBy(_bucket("h")).agg(F.sum("n"), F.count("*")).collect():  # BUCKETS rows
+        net.totals[b] += count_of + ADDED * kinds
     for _ in range(rounds if every else 0):
         start = spark.sparkContext.broadcast(net)
 
@@ -192,17 +212,38 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = 1) -> Network:
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum over tokens of ln P(token | both sides)) and per_token (their mean).
 
+    P of a word of the vocabulary is the network's; of any other word it is the network's P of its bucket times the
+    word's share of the bucket: (n + ADDED) / total, n from the whole corpus's counts, 0 if the word isn't there. A
+    document's other words meet the counts in a join by hash, a row each.
+
     Null and empty texts have no tokens, log_likelihood 0 and a null per_token. Ids may be null or repeat; extra
     columns are ignored."""
     model = docs.sparkSession.sparkContext.broadcast(net)
+    fields = ["row", "doc_id", "n_tokens", "p", "h", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, w in _words(b):
-                p = model.value.log_probabilities(model.value.tokens(w.hash), w.doc)
+                token, row = model.value.tokens(w.hash), b["row"][lo:hi]
+                p = model.value.log_probabilities(token, w.doc)
                 n, total = w.counts(), np.bincount(w.doc, p, minlength=w.docs)
-                mean = pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([b["doc_id"][lo:hi], pa.array(n, pa.int64()), pa.array(total, pa.float64()), mean], ["doc_id", "n_tokens", "log_likelihood", "per_token"])
-
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(lean(run), "doc_id long, n_tokens long, log_likelihood double, per_token double")
+                none = pa.nulls(w.docs, pa.int64())
+                yield pa.RecordBatch.from_arrays([row, b["doc_id"][lo:hi], pa.array(n, pa.int64()), pa.array(total, pa.float64()), row, none], fields)
+                other = np.flatnonzero(token >= WORDS)
+                if len(other):
+                    doc, h = w.doc[other], w.hash[other]
+                    by = np.lexsort((h, doc))
+                    doc, h = doc[by], h[by]
+                    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]))
+                    none = pa.nulls(len(first), pa.int64())
+                    times = np.diff(np.append(first, len(h)))
+                    yield pa.RecordBatch.from_arrays([row.take(pa.array(doc[first])), none, none, none.cast(pa.float64()), pa.array(h[first].view(np.int64)), pa.array(times, pa.int64())], fields)
+
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    parts = own.mapInArrow(lean(run), "row long, doc_id long, n_tokens long, p double, h long, times long")
+    met = parts.join(net.counts.withColumnRenamed("n", "seen"), "h", "left")
+    total = F.array(*[F.lit(float(t)) for t in net.totals])[_bucket("h").cast("int")]
+    share = F.ln((F.coalesce("seen", F.lit(0)) + ADDED) / total)
+    sums = met.select("row", "doc_id", "n_tokens", F.coalesce("p", F.col("times") * share).alias("p")).groupBy("row")
+    out = sums.agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("p").alias("log_likelihood"))
+    return out.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("per_token"))

@@ -153,6 +153,25 @@ def test_network_learns_and_sums(spark):
     assert net.contexts(token, doc)[3].tolist() == [1, 2, pseudo_likelihood._V, pseudo_likelihood._V]
 
 
+def test_words_of_a_bucket_have_their_own_probabilities(spark):
+    often = " ".join(f"v{i}" for i in range(pseudo_likelihood.WORDS))
+    texts = [often] * 40 + ["rare"] * 20 + [f"once{i}" for i in range(300)]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    net = pseudo_likelihood.train(docs, rounds=0)
+    assert net.counts.count() == 301 and net.counts.agg({"n": "sum"}).first()[0] == 320
+    # alone in a text, all buckets are as likely: what differs is the share of the bucket
+    new = [(0, "rare"), (1, "once7"), (2, "never"), (3, "rare rare"), (None, "rare")]
+    out = pseudo_likelihood.score(spark.createDataFrame(new, "doc_id long, text string"), net).collect()
+    got = {r.doc_id: r for r in out}
+    assert len(out) == 5 and got[0].log_likelihood == got[None].log_likelihood and got[3].n_tokens == 2
+    assert got[0].log_likelihood > got[1].log_likelihood + 1 and got[0].log_likelihood > got[2].log_likelihood + 1
+    # the shares of a bucket's words and of one unseen word make up the bucket
+    kept = net.counts.toArrow()
+    bucket = kept["h"].to_numpy() & (pseudo_likelihood.BUCKETS - 1)
+    weight = np.bincount(bucket, kept["n"].to_numpy() + pseudo_likelihood.ADDED, pseudo_likelihood.BUCKETS) + pseudo_likelihood.ADDED
+    assert np.allclose(weight, net.totals)
+
+
 def test_network_awkward(spark):
     docs = spark.createDataFrame(awkward(), SCHEMA)
     out = pseudo_likelihood.score(docs, pseudo_likelihood.train(docs)).collect()
