@@ -16,8 +16,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
 
-#: Runs of credential characters that the randomness tests judge.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Runs of the characters of one encoding that the randomness tests judge; '=' ends a run, as padding or after a name.
+CANDIDATE = r"(?:[A-Za-z0-9+/]{20,}|[A-Za-z0-9_-]{20,})=*"
 LEAST = 20
 #: Encodings by name: pattern of whole tokens (padding aside) and alphabet; the first that fits is inferred.
 ENCODINGS = (

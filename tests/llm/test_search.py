@@ -209,6 +209,18 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert not any(out[i] for i in range(30, len(texts)))
 
 
+def test_random_tokens_after_names_and_in_paths(spark):
+    rng = random.Random(8)
+    key = lambda n, more="": "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + more) for _ in range(n))
+    before = ["AWS_SECRET_ACCESS_KEY=", "auth=", "https://x.example/get?sig=", "/srv/my_app/config-files/", "a=b=c="]
+    keys = [(b, key(40, "+/") if b.startswith("AWS") else key(32)) for b in before for _ in range(12)]
+    texts = [f"see {b}{k} here" for b, k in keys] + ["AWS_SECRET_ACCESS_KEY=internationalization_of_words /usr/share/some_long_directory_name/another-long-name"] * 20
+    out = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.find_secrets(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    found = [any(s == 3 and j <= 4 + len(b) + len(k) and i <= 4 + len(b) < j for i, s, j in out[n]) for n, (b, k) in enumerate(keys)]
+    assert all(sum(found[i : i + 12]) >= 10 for i in range(0, 60, 12)), found
+    assert not any(out[i] for i in range(60, 80))
+
+
 def test_secrets_awkward(spark):
     out = secrets.find_secrets(spark.createDataFrame(awkward(), SCHEMA)).select("doc_id", secrets.written("spans").alias("s")).collect()
     assert len(out) == len(awkward()) and all(r.s == "" for r in out)
