@@ -17,9 +17,11 @@ BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all executors share: the session's spark.checkpoint.dir. Where that is unset, a temporary one in local mode, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="margrave-")
         atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -37,6 +39,14 @@ def materialize(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.schema(df.schema).format(fmt).load(path)
 
 
+def free_name(name: str, *taken: list[str]) -> str:
+    """name, with as many underscores after it as make it unlike all names taken, whatever their case."""
+    used = {c.lower() for names in taken for c in names}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -100,6 +100,42 @@ def test_suffix_ranks_are_classes_and_ordered(spark):
             assert (ra == rb) == (a == b) and (ra < rb) == (a < b)
 
 
+def test_runs_are_longest_common_prefixes(spark):
+    rng = random.Random(4)
+    docs = [(d, "".join(rng.choice("ab") for _ in range(rng.randint(1, 20)))) for d in range(8)] + [(8, "q" * 9), (9, "z" + "pqrstuvwxyz" * 2), (10, "pqrstuvwxyz")]
+    text = dict(docs)
+    lines = [(d, d, i, ord(c), 0) for d, s in docs for i, c in enumerate(s)]
+    runs = line_dedup.repeated_runs(spark.createDataFrame(lines, "key long, doc_id long, i int, h1 long, h2 long"), 2).collect()
+    for r in runs:
+        a, b = text[r.doc_id][r.i :], text[r.first.doc_id][r.first.i :]
+        common = next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert r.length == common >= 2 and (r.first.doc_id, r.first.i) < (r.doc_id, r.i)
+        before = min((d, i) for d, s in docs for i in range(len(s)) if s[i : i + 2] == a[:2])
+        assert (r.first.doc_id, r.first.i) == before  # the first copy of its beginning
+    own = [(r.i, r.length, r.first.doc_id, r.first.i) for r in runs if r.doc_id == 10]
+    assert own == [(0, 11, 9, 1)]  # one run, not one for each window of two lines
+    assert [(r.i, r.length, r.first.i) for r in runs if r.doc_id == 8] == [(1, 8, 0)]
+    wanted = {(d, j) for d, s in docs for i in range(len(s) - 1) for j in (i, i + 1) if min((e, k) for e, t in docs for k in range(len(t)) if t[k : k + 2] == s[i : i + 2]) < (d, i)}
+    assert {(r.doc_id, j) for r in runs for j in range(r.i, r.i + r.length)} == wanted
+
+
+def test_long_single_lines(spark):
+    long, short = " ".join(f"w{i}" for i in range(50)), "a short line"
+    texts = [f"x\n{long}\ny", f"p\n{long}\nq\n{short}", long, short, f"{long}\n{short}", f"{long} more\nz"]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(docs, 2, long_words=50).collect()}
+    assert got == {0: (texts[0], 0), 1: (f"p\nq\n{short}", 1), 2: ("", 1), 3: (short, 0), 4: (short, 1), 5: (texts[5], 0)}
+    assert {r.doc_id: r.n_removed for r in line_dedup.line_dedup(docs, 2).collect()} == dict.fromkeys(range(6), 0)
+    three = spark.createDataFrame([(1, f"a\n{long}\nb\nc"), (2, f"{long}\nb\nz"), (3, "a\nb\nc")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in line_dedup.line_dedup(three, 3, long_words=50).collect()} == {1: 0, 2: 1, 3: 0}
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a\nb", 1, 2, 3, 4), (2, "a\nb", 5, 6, 7, 8)], "doc_id int, text string, __key int, key_ int, Doc_ int, runs_ int")
+    got = sorted(tuple(r) for r in line_dedup.line_dedup(docs).collect())
+    assert got == [(1, "a\nb", 1, 2, 3, 4, 2, 0), (2, "", 5, 6, 7, 8, 2, 2)]
+
+
 def test_line_dedup_awkward(spark):
     line = [(1, "a\nb"), (2, "a\nb"), (2, "a\nb"), (None, "a\nb"), (3, None), (4, "")]
     out = line_dedup.line_dedup(spark.createDataFrame([(*r, 7, "z") for r in line], "doc_id long, text string, n_lines int, key string")).collect()
