@@ -14,7 +14,8 @@ from margrave.llm.textops import SLICE, lean, slices, utf8, words
 
 #: Hashed features: words, and triples of character kinds.
 WORD_BINS, SHAPE_BINS = 1024, 1024
-#: Further features: share of words equal to the word before; and the weight it gets, as of so many log counts.
+#: Further features: share of words equal to the word before; and the weight it gets, as of so many log counts. Junk
+#: that stammers has the words of good text, which hashed bins alone don't tell apart.
 REPEAT_BINS, REPEAT_SCALE = 1, 20
 _BINS = WORD_BINS + SHAPE_BINS + REPEAT_BINS
 #: Labelled documents in the vote, at most; latent dimensions; neighbours that vote; power of a similarity that is its weight.
@@ -95,11 +96,13 @@ def held_out(doc_id: Column) -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Voters:
     """Voters from at most max_labelled labelled documents that aren't held out, those whose hashed ids come first.
 
-    The bound keeps what is broadcast at max_labelled * (DIMENSIONS + 1) floats. Labels that are null, or of null
-    ids, are left out; of several labels for an id the smallest counts."""
-    own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).cast("int").alias("label"))
+    The bound keeps what the driver gets at a row of _BINS half floats for each of max_labelled ids, and what is broadcast
+    at max_labelled * (DIMENSIONS + 1) floats. Labels that are null, or of null ids, are left out; of several labels for
+    an id the smallest counts, and of several rows of an id the one whose text is smallest (null: empty)."""
+    own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).cast("int").alias("label"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    labelled = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,8 +111,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b["doc_id"][lo:hi], b["label"][lo:hi], pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(lean(describe), "doc_id long, label int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
-    rows = rows.slice(0, max_labelled)
+    rows = labelled.mapInArrow(lean(describe), "doc_id long, label int, x binary").toArrow().sort_by("doc_id")
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(rows.num_rows, _BINS).astype(np.float32)
     y = rows["label"].to_numpy()
     return Voters.fit(x, y) if len(y) else Voters(np.ones(x.shape[1], np.float32), np.zeros((x.shape[1], 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32))
