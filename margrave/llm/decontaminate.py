@@ -57,7 +57,9 @@ def decontaminate(
         part = sets.where(F.least(F.size("ws"), F.lit(SHINGLE)) == size).select("win", F.size("ws").alias("len"), F.posexplode(_shingles(F.col("ws"), size)).alias("at", "h"))
         pieces = part if pieces is None else pieces.unionByName(part)
 
-    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), words(F.col(text_col)).alias("ws"))
+    # two hashes tell documents apart: 128 bits
+    key = F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("a"), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("b"))
+    own = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), words(F.col(text_col)).alias("ws"))
     if pieces is None:
         return own.select("doc_id", F.size("ws").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("item_ids"))
     pieces = materialize(pieces, "item-shingles")
@@ -78,12 +80,13 @@ def decontaminate(
     text_at = F.transform("cands", lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"), F.array_join(F.slice("ws", c["start"] + 1, c["len"]), " ").alias("win")))
     found = materialize(own.join(_small(by_doc, BROADCAST_STARTS, F.size("cands")), "key", "left").select("doc_id", "key", F.size("ws").cast("long").alias("n_words"), text_at.alias("found")), "found")
 
-    hits = found.where("found is not null").select("key", F.explode("found").alias("f")).select("key", "f.*").distinct()
-    by_win = windows.groupBy("win").agg(F.collect_set("item").alias("items"))
-    hits = hits.join(_small(by_win, BROADCAST_WINDOWS), "win")
+    hits = materialize(found.where("found is not null").select("key", F.explode("found").alias("f")).select("key", "f.*").join(_small(sets.select("win"), BROADCAST_WINDOWS), "win", "left_semi").distinct(), "hits")
     spans = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))))
-    per_doc = hits.groupBy("key").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"))
-    per_doc = per_doc.select("key", spans.cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
+    words_hit = hits.groupBy("key").agg(F.collect_set(F.struct("start", "len")).alias("spans")).select("key", spans.cast("long").alias("n_hit"))
+    # a row per document and item, however many occurrences and windows they share
+    items_hit = hits.select("key", "win").distinct().join(_small(windows.select("win", "item"), BROADCAST_WINDOWS), "win").select("key", "item").distinct()
+    items_hit = items_hit.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
+    per_doc = words_hit.join(items_hit, "key").select("key", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids")
     none = F.array().cast("array<string>")
     return found.join(per_doc, "key", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("item_ids", none).alias("item_ids")
