@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from margrave.llm.bpe import bpe_encode
-from margrave.llm.common import materialize, ship
+from margrave.llm.common import free_name, materialize, ship
 from margrave.llm.decontaminate import decontaminate
 from margrave.llm.line_dedup import line_dedup
 from margrave.llm.ngram_join import ngram_join
@@ -35,13 +35,17 @@ def _without(docs: DataFrame, gone: DataFrame, on: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     voters = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, voters, out="__score").where(F.col("__score") >= GOOD).drop("__score")
+    score = free_name("score", docs.columns)
+    return score_quality(docs, voters, out=score).where(F.col(score) >= GOOD).drop(score)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    out = line_dedup(docs, MIN_LINES).where("n_removed = 0 or n_removed < n_lines")
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    own = {c: free_name(f"{c}_own", docs.columns) for c in ("n_lines", "n_removed") if c in docs.columns}
+    out = line_dedup(docs.withColumnsRenamed(own), MIN_LINES).where("n_removed = 0 or n_removed < n_lines")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop("n_lines", "n_removed").withColumnsRenamed({new: old for old, new in own.items()}).select(docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +55,10 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    hit = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WINDOW, id_col="__key").where("n_items > 0")
-    return _without(keyed, hit.withColumnRenamed("doc_id", "__key"), "__key").select(docs.columns)
+    key = free_name("key", docs.columns)
+    keyed = docs.withColumn(key, F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b")))
+    hit = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WINDOW, id_col=key).where("n_items > 0")
+    return _without(keyed, hit.withColumnRenamed("doc_id", key), key).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
