@@ -14,11 +14,11 @@ from margrave.llm.textops import lean, mix, slices, trimmed, utf8, windows, word
 
 #: Bits of a shingle's hash in the sets that are compared.
 TOKEN_BITS = 52
-#: Bytes of sets that one task compares at once.
-BLOCK_BYTES = 1 << 20
+#: Bytes of sets, and their number, that one task compares at once.
+BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 256
 #: Bytes of leaders' sets that are broadcast, else joined by shuffle.
 BROADCAST_BYTES = 32 << 20
-#: Labels of candidates are broadcast up to this number of rows (16 bytes each), else joined by shuffle.
+#: Labels of candidates, and large groups, are broadcast up to this number of rows (16 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
 _U = np.uint64
@@ -112,8 +112,13 @@ def _links(t: pa.Table, percent: int, orders: int) -> tuple[np.ndarray, np.ndarr
     return ids, ids[root]
 
 
-def _large_groups(sets: DataFrame, percent: int, link) -> DataFrame:
-    """Links (u, v) that connect what is connected in each large group; see ngram_join."""
+def _small(df: DataFrame, n: int) -> DataFrame:
+    """df, of n rows, to be broadcast if these are few."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def _large_groups(sets: DataFrame, n_groups: int, percent: int, link) -> DataFrame:
+    """Links (u, v) that connect what is connected in each of n_groups large groups; see ngram_join."""
     leader = F.min_by(F.struct(F.col("doc_id").alias("lead"), F.col("n").alias("lead_n"), F.col("tokens").alias("lead_tokens")), "doc_id")
     leaders = materialize(sets.groupBy("root").agg(leader.alias("l")).select("root", "l.*"), "leaders")
     size = leaders.agg(F.sum(F.octet_length("lead_tokens"))).first()[0]
@@ -131,9 +136,10 @@ def _large_groups(sets: DataFrame, percent: int, link) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(out, pa.bool_())], [*keep, "absorbed"])
 
     marked = materialize(met.select("root", "doc_id", "n", "tokens", "classes", "lead", "lead_n", "lead_tokens").mapInArrow(lean(absorb), "root long, doc_id long, n long, tokens binary, classes binary, lead long, absorbed boolean"), "marked-sets")
-    blocks = lambda rest: F.greatest(F.lit(1), F.ceil(F.sum(F.when(rest, F.octet_length("tokens")).otherwise(0)) * 2 / BLOCK_BYTES)).cast("int")
+    halves = lambda rest: F.greatest(F.sum(F.when(rest, F.octet_length("tokens")).otherwise(0)) * 2 / BLOCK_BYTES, F.count_if(rest) * 2 / BLOCK_ROWS)
+    blocks = lambda rest: F.greatest(F.lit(1), F.ceil(halves(rest))).cast("int")
     deal = marked.groupBy("root").agg(blocks(F.col("absorbed")).alias("a"), blocks(~F.col("absorbed")).alias("u"))
-    dealt = marked.join(F.broadcast(deal), "root")
+    dealt = marked.join(_small(deal, n_groups), "root")
     own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("absorbed"), F.col("a")).otherwise(F.col("u"))).cast("int")
     dealt = dealt.withColumn("own", own)
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -157,26 +163,24 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, orders: int = 3,
        a token of their prefixes under every such order. Prefix tokens under the first order group the
        representatives (stars around the smallest, then connected components); inside a group only pairs that pass
        the prefix filters of all orders, and the length filter, are verified, on whole sets.
-    4. In a group whose sets exceed BLOCK_BYTES every set is first compared with the group's smallest document. Those
+    4. In a group whose sets exceed BLOCK_BYTES or BLOCK_ROWS every set is first compared with the group's smallest document. Those
        linked with it are one component and needn't be compared with each other; what is left, few in a group of near
        copies, is dealt into blocks that are compared with all blocks of the group and with each other, each two in a
        task of their own. Components then join what the tasks found.
 
     Empty, blank or null texts have no shingles and link with nothing. A null doc_id gets a null component_id and
     links with nothing. Rows of equal doc_id count as one document for components. Extra columns are ignored."""
-    groups, n_buckets = fp.grouped(docs, id_col, text_col)
+    groups, no_id, n_buckets = fp.met_and_unmet(docs, id_col, text_col)
     count = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col)).cast("long")), F.lit(0))).first()[0]
     bits = min(TOKEN_BITS, max(32, int(count).bit_length() + 8))  # of hashes that are counted: a rare false match only changes a token's place in the orders
     cut = _U(TOKEN_BITS - bits)
 
     def counted(t: pa.Table):
-        if t["g"][0].as_py() < 0:
-            return np.zeros(0, np.uint64), None
         _, h = _sets(t, n)
         keys, times = np.unique(h >> cut, return_counts=True)
         return keys, np.minimum(times, 255).astype(np.uint8)
 
-    def classes(first, by, extra):
+    def classes(first, by, extra, rank):
         total = np.add.reduceat(extra[by].astype(np.int64), first)
         cls = np.where(total < 2, 0, np.frexp(total.astype(float))[1]).astype(np.uint8)
         code = np.empty(len(by), np.uint8)
@@ -225,30 +229,37 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, orders: int = 3,
             }
         )
 
+    def unmet_rows(batches):
+        none = pa.table({c: pa.array([], t) for c, t in (("g", pa.int64()), ("b", pa.int32()), ("answer", pa.binary()))})
+        for b in batches:
+            yield from describe(pa.table(b), none).to_batches()
+
+    schema = "doc_id long, n long, sig binary, tokens binary, classes binary, front array<long>"
+    unmet = no_id.mapInArrow(lean(unmet_rows), schema)
     answers = fp.answer(fp.send(groups, n_buckets, counted, bits), classes)
     described = materialize(
-        groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(trimmed(describe), "doc_id long, n long, sig binary, tokens binary, classes binary, front array<long>"), "shingle-sets"
+        groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(trimmed(describe), schema).unionByName(unmet), "shingle-sets"
     )
     reps = described.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     first = described.where("front is not null").select("doc_id", "sig", "front").join(reps, "sig").where("doc_id = rep").select("doc_id", F.explode("front").alias("token"))
     least = first.groupBy("token").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("token", "least")
     near = components(first.join(least, "token").select(F.col("doc_id").alias("u"), F.col("least").alias("v")))
-    n_near = near.count()
-    near = F.broadcast(near) if n_near <= BROADCAST_ROWS else near
+    near = _small(near, near.count())
     sets = described.where("tokens is not null").select("doc_id", "n", "tokens", "classes").join(near, F.col("doc_id") == F.col("node")).select("doc_id", "n", "tokens", "classes", "root")
-    large = sets.groupBy("root").agg(F.sum(F.octet_length("tokens")).alias("bytes")).where(F.col("bytes") > BLOCK_BYTES).select("root")
+    large = sets.groupBy("root").agg(F.sum(F.octet_length("tokens")).alias("bytes"), F.count("*").alias("rows")).where((F.col("bytes") > BLOCK_BYTES) | (F.col("rows") > BLOCK_ROWS)).select("root")
     large = materialize(large, "large-groups")
+    n_large = large.count()
 
     def link(t: pa.Table) -> pa.Table:
         ids, root = _links(t, percent, orders)
         return pa.table({"u": pa.array(ids, pa.int64()), "v": pa.array(root, pa.int64())})
 
-    few = F.broadcast(large)  # total bytes / BLOCK_BYTES rows at most
+    few = _small(large, n_large)
     linked = sets.join(few, "root", "left_anti").groupBy("root").applyInArrow(trimmed(link), "u long, v long")
-    if large.isEmpty():
+    if not n_large:
         linked = linked.groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("component"))
     else:
-        linked = linked.unionByName(_large_groups(sets.join(few, "root", "left_semi"), percent, link))
+        linked = linked.unionByName(_large_groups(sets.join(few, "root", "left_semi"), n_large, percent, link))
         linked = components(linked).select(F.col("node").alias("rep"), F.col("root").alias("component"))
     own = reps.join(linked, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     whole = described.select("doc_id", "n", "sig").join(own, "sig", "left")

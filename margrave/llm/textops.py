@@ -153,6 +153,19 @@ def run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix(h + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
+def window_checks(w: Words, k: int) -> np.ndarray:
+    """A second, independent hash of 16 bits of each window that windows(w, k) gives."""
+    n = len(w.hash)
+    if n < k:
+        return np.zeros(0, np.uint16)
+    other = (mix(w.hash, 5) >> _U(32)).astype(np.uint32) | np.uint32(1)
+    roll = other[: n - k + 1].copy()
+    for j in range(1, k):
+        roll *= np.uint32(0x9E3779B1)
+        roll += other[j : n - k + 1 + j]
+    return (mix(roll[w.doc[k - 1 :] == w.doc[: n - k + 1]].astype(np.uint64), 6) >> _U(48)).astype(np.uint16)
+
+
 def windows(w: Words, k: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Index of the first word and rolling polynomial hash of each window of k words of one text; a text of fewer words, but not none, is one window if whole."""
     n = len(w.hash)

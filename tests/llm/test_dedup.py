@@ -223,6 +223,13 @@ def test_packed_hashes_come_back():
     h = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64))
     for part in (h, h[:1], h[:2], h[500:]):
         assert (fingerprints.unpack(fingerprints.pack(part)) == part).all()
+    ends = np.array([1, 400, 1000])
+    column = fingerprints.plain(h, ends)
+    n, values = fingerprints.runs(column, np.array([2, 0, 1]), "<u8", fingerprints.unpack)
+    assert n.tolist() == [600, 1, 399] and (values == np.concatenate([h[400:], h[:1], h[1:400]])).all()
+    mixed = pa.chunked_array([column, fingerprints.packed([fingerprints.pack(h[:5])])])
+    n, values = fingerprints.runs(mixed, np.arange(4), "<u8", fingerprints.unpack)
+    assert n.tolist() == [1, 399, 600, 5] and (values == np.concatenate([h, h[:5]])).all()
     bucket = fingerprints.bucket_of(h, 7, 64)
     assert (np.diff(bucket) >= 0).all() and bucket.max() < 7
 
@@ -235,3 +242,41 @@ def test_groups_follow_ids(spark, monkeypatch):
     got = sorted((r.doc_id, r.g) for r in groups.collect() if r.doc_id is not None)
     assert all(a[1] <= b[1] for a, b in itertools.pairwise(got)) and len({g for _, g in got}) > 20
     assert [r.g for r in groups.where("doc_id is null").collect()] == [-1] and groups.where("doc_id = -5").select("g").distinct().count() == 1
+
+
+def test_null_ids_and_one_hot_id_are_no_group(spark):
+    """A third of the rows has no id and a third one id: no group holds either, and results are as if they were apart."""
+    text = " ".join(f"w{i}" for i in range(20))
+    ids = [*range(1000), *[None] * 1000, *[500] * 1000]
+    docs = spark.createDataFrame([(i, f"{text} x{n % 50}") for n, i in enumerate(ids)], "doc_id long, text string")
+    groups, unmet, _ = fingerprints.met_and_unmet(docs, "doc_id", "text")
+    assert unmet.count() == 1000
+    sizes = [r["count"] for r in groups.groupBy("g").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 400
+    got = substring_dedup.substring_dedup(docs, 13).collect()
+    assert len(got) == 3000
+    for r in got:
+        # the first 20 words are a copy of document 0's; the last one too from document 50 on
+        assert (r.n_removed == 0) if not r.doc_id else (r.n_removed >= 20)
+    assert all(r.n_removed == 21 for r in got if r.doc_id == 500)
+    own = {(r.doc_id, r.component_id) for r in ngram_join.ngram_join(docs).collect()}
+    assert own == {(None, None)} | {(i, 0) for i in range(1000)}
+
+
+def test_plain_rows_give_the_same(spark, monkeypatch):
+    texts = sample(13, words=60)
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    want = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(docs, 3).collect()}
+    assert want == plain_substrings(list(enumerate(texts)), 3)
+    for least in (0, 10**9):  # all rows packed, none packed
+        monkeypatch.setattr(fingerprints, "PACKED", least)
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(docs, 3).collect()} == want
+        assert {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs, 4, 85).collect()} == {d: c for d, (_, c) in plain_components(list(enumerate(texts)), 4, 85).items()}
+
+
+def test_windows_of_equal_hash_and_other_words_are_apart(spark, monkeypatch):
+    """Were all 64-bit hashes equal, the second hash would still tell windows of different groups apart."""
+    data, offsets = textops.utf8(pa.array(["a b c d", "a b c d", "a b c e"]))
+    w = textops.words(data, offsets)
+    checks = textops.window_checks(w, 3)
+    assert len(checks) == 6 and checks[0] == checks[2] == checks[4] and checks[1] == checks[3] != checks[5]
