@@ -13,15 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from margrave.llm.common import materialize
+from margrave.llm.common import materialize, partitions, scratch_path, total_bytes
 from margrave.llm.textops import lean, slices, utf8, words
 
 #: Words of the vocabulary, then hash buckets for all others; both together are CLUSTERS * CLUSTER classes.
 WORDS, BUCKETS, CLUSTERS, CLUSTER = 960, 64, 32, 32
 #: Offsets of the context's tokens, hidden units, tokens of a training step, step size.
 CONTEXT, HIDDEN, STEP, RATE = (-2, -1, 1, 2), 16, 8192, 0.08
-#: Parts in which workers' weights are averaged.
-PARTS = 16
+#: Bytes of text of a shard, at least, and number of shards, at most; parts in which their weights are averaged.
+SHARD_BYTES, MOST_SHARDS, PARTS = 8 << 20, 4095, 16
 #: Added to the count of each word of a bucket, and of one never seen.
 ADDED = 0.5
 _V = WORDS + BUCKETS
@@ -127,12 +127,15 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([w.reshape(-1) for w in self.weights])
 
-    def replaced(self, flat: np.ndarray) -> Network:
+    def shaped(self, flat: np.ndarray) -> list[np.ndarray]:
         out, at = [], 0
         for w in self.weights:
             out.append(flat[at : at + w.size].reshape(w.shape).astype(np.float32))
             at += w.size
-        return Network(self.table, self.token, out, self.counts, self.totals)
+        return out
+
+    def replaced(self, flat: np.ndarray) -> Network:
+        return Network(self.table, self.token, self.shaped(flat), self.counts, self.totals)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -151,13 +154,58 @@ def _bucket(h: str):
     return F.col(h).bitwiseAND(F.lit(BUCKETS - 1))
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = 1) -> Network:
-    """Fit the network to every token of every document.
+class Learner:
+    """Walks over the tokens of one shard in steps of STEP, wherever batches end."""
+
+    def __init__(self, net: Network, history: np.ndarray):
+        self.net, self.history, self.seen = net.replaced(net.flat()), net.shaped(history), 0
+        self.token, self.context = [], []
+
+    def take(self, token: np.ndarray, doc: np.ndarray) -> None:
+        self.token.append(token)
+        self.context.append(self.net.contexts(token, doc))
+        if sum(map(len, self.token)) >= STEP:
+            self._walk(STEP)
+
+    def _walk(self, least: int) -> None:
+        token, context = np.concatenate(self.token), np.concatenate(self.context)
+        lo = 0
+        while len(token) - lo >= least:
+            self.net.step(token[lo : lo + STEP], context[lo : lo + STEP], self.history)
+            lo += min(STEP, len(token) - lo)
+        self.seen += lo
+        self.token, self.context = [token[lo:]], [context[lo:]]
+
+    def parts(self) -> list[bytes]:
+        """Weights and history after all tokens."""
+        if sum(map(len, self.token)):
+            self._walk(1)
+        both = np.concatenate([self.net.flat(), *[h.reshape(-1) for h in self.history]])
+        return [p.astype("<f4").tobytes() for p in np.array_split(both, PARTS)]
+
+
+def waves(shards: int) -> list[tuple[int, int]]:
+    """Ranges of shard numbers: 1, 2, 4, ... shards, until all are dealt."""
+    out, lo = [], 0
+    while lo < shards:
+        out.append((lo, min(shards, 2 * lo + 1)))
+        lo = out[-1][1]
+    return out
+
+
+def train(docs: DataFrame, text_col: str = "text", rounds: int = 1, id_col: str = "doc_id") -> Network:
+    """Fit the network to every token of every document, `rounds` times.
 
     Words are counted over the corpus; the WORDS most frequent are the vocabulary, the counts of all others stay a
-    table that grows with the corpus (Network.counts). In each round every task walks
-    over all its tokens from the common weights; its weights, and how many tokens they saw, are averaged by a
-    shuffle in PARTS parts. The driver holds one network (about 0.4 MB) and the buckets' totals."""
+    table that grows with the corpus (Network.counts). Documents are dealt to shards of SHARD_BYTES or more by a hash of
+    id and text, and shards to waves of 1, 2, 4, ... of them. The shards of a wave all start from the same weights and
+    step sizes, which the waves before it learnt, walk over their own tokens in a fixed order, and are averaged by
+    their numbers of tokens: the first wave finds the way, and later ones widen the data. So the network is
+    synchronised as often as the logarithm of the corpus, and is the same on any partitioning. Tokens are written once,
+    two bytes each, and streamed: a shard needs no memory of its size. The driver holds one network and its step sizes
+    (about 0.8 MB) and the buckets' totals; an averaging task holds 50 kB of each of MOST_SHARDS / 2 shards at most.
+
+    Rows of one id and one text share a shard."""
     own = docs.select(F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,38 +225,75 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = 1) -> Network:
     net.totals = np.full(BUCKETS, ADDED)
     for b, count_of, kinds in net.counts.groupBy(_bucket("h")).agg(F.sum("n"), F.count("*")).collect():  # BUCKETS rows
         net.totals[b] += count_of + ADDED * kinds
-    for _ in range(rounds if every else 0):
-        start = spark.sparkContext.broadcast(net)
-
-        def learn(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            own_net = start.value.replaced(start.value.flat().copy())
-            history, seen = [np.full_like(w, 1e-6) for w in own_net.weights], 0
-
-            def walk(token: np.ndarray, context: np.ndarray) -> None:
-                for lo in range(0, len(token), STEP):
-                    own_net.step(token[lo : lo + STEP], context[lo : lo + STEP], history)
-
-            for b in batches:
-                for _, _, w in _words(b):
-                    token = own_net.tokens(w.hash)
-                    if len(token):
-                        seen += len(token)
-                        walk(token, own_net.contexts(token, w.doc))
-            if seen:
-                parts = np.array_split(own_net.flat(), PARTS)
-                yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([seen] * PARTS, pa.int64()), pa.array([p.astype("<f4").tobytes() for p in parts], pa.binary())], ["part", "n", "w"])
-
-        def average(t: pa.Table) -> pa.Table:
-            rows = sorted(zip(t["n"].to_pylist(), t["w"].to_pylist(), strict=True))
-            total = sum(n for n, _ in rows)
-            mean = sum(np.frombuffer(w, "<f4").astype(float) * (n / total) for n, w in rows)
-            return pa.table({"part": t["part"][:1], "w": pa.array([mean.astype("<f4").tobytes()], pa.binary())})
-
-        learnt = own.mapInArrow(lean(learn), "part int, n long, w binary").groupBy("part").applyInArrow(average, "part int, w binary").toArrow().sort_by("part")
-        net = net.replaced(np.concatenate([np.frombuffer(w, "<f4") for w in learnt["w"].to_pylist()]))
+    if not every or not rounds:
+        return net
+    shards = max(1, min(MOST_SHARDS, -(-total_bytes(docs, text_col) // SHARD_BYTES)))
+    dealt = waves(shards)
+    given = spark.sparkContext.broadcast(net)
+
+    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, w in _words(b):
+                token = given.value.tokens(w.hash).astype("<u2")
+                at = np.concatenate([[0], np.cumsum(w.counts())]) * 2
+                tokens = pa.Array.from_buffers(pa.large_binary(), w.docs, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(token)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([b["shard"][lo:hi], b["k"][lo:hi], tokens], ["shard", "k", "tokens"])
+
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    keyed = docs.select(F.pmod(F.xxhash64(F.lit(8), F.col(id_col), F.col(text_col)), F.lit(shards)).cast("int").alias("shard"), key.alias("k"), F.col(text_col).alias("text"))
+    tokens = keyed.where("text is not null").mapInArrow(lean(tokenize), "shard int, k long, tokens binary")
+    wave = F.lit(0)
+    for i, (lo, _) in enumerate(dealt):
+        wave = F.when(F.col("shard") >= lo, i).otherwise(wave)
+    path = scratch_path(spark, "tokens")
+    tokens.repartition(partitions(spark), "shard").withColumn("wave", wave).write.partitionBy("wave").parquet(path)  # a shard is in one file
+    tokens = spark.read.schema("shard int, k long, tokens binary, wave int").parquet(path)
+    history = np.full(net.flat().size, 1e-6, np.float32)
+    for i in [*range(len(dealt))] * rounds:
+        net, history = _wave(tokens.where(F.col("wave") == i).drop("wave"), net, history)
     return net
 
 
+def _wave(tokens: DataFrame, net: Network, history: np.ndarray) -> tuple[Network, np.ndarray]:
+    """The averages of the shards' networks and step sizes (see train)."""
+    start = tokens.sparkSession.sparkContext.broadcast((net, history))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, own = None, None
+
+        def done() -> pa.RecordBatch:
+            columns = [pa.array(range(PARTS), pa.int32()), pa.array([shard] * PARTS, pa.int32()), pa.array(own.parts(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([own.seen] * PARTS, pa.int64())], ["part", "shard", "w", "n"])
+
+        for b in batches:
+            number = b["shard"].to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]])) if b.num_rows else []
+            for lo, hi in zip(edge, edge[1:]):
+                if number[lo] != shard:
+                    if own:
+                        yield done()
+                    shard, own = int(number[lo]), Learner(*start.value)
+                for i in range(lo, hi, 64):
+                    part = b["tokens"][i : min(i + 64, hi)].to_pylist()
+                    doc = np.repeat(np.arange(len(part)), [len(t) // 2 for t in part])
+                    own.take(np.frombuffer(b"".join(part), "<u2").astype(np.int64), doc)
+        if own:
+            yield done()
+
+    def average(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(t["shard"].to_pylist(), t["n"].to_pylist(), t["w"].to_pylist(), strict=True))
+        total = max(1, sum(n for _, n, _ in rows))
+        mean = sum(np.frombuffer(w, "<f4").astype(float) * (n / total) for _, n, w in rows)
+        return pa.table({"part": t["part"][:1], "w": pa.array([mean.astype("<f4").tobytes()], pa.binary())})
+
+    own = tokens.where(F.octet_length("tokens") > 0).repartition(partitions(tokens.sparkSession), "shard").sortWithinPartitions("shard", "k")
+    learnt = own.mapInArrow(lean(learn), "part int, shard int, w binary, n long").groupBy("part").applyInArrow(average, "part int, w binary").toArrow().sort_by("part")
+    if not learnt.num_rows:
+        return net, history
+    both = np.concatenate([np.frombuffer(w, "<f4") for w in learnt["w"].to_pylist()])
+    return net.replaced(both[: len(history)]), both[len(history) :]
+
+
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum over tokens of ln P(token | both sides)) and per_token (their mean).
 

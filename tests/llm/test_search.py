@@ -172,6 +172,39 @@ def test_words_of_a_bucket_have_their_own_probabilities(spark):
     assert np.allclose(weight, net.totals)
 
 
+def test_network_is_the_same_on_any_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "SHARD_BYTES", 2000)
+    docs = spark.createDataFrame(rows(sample(5, n=200, vocabulary=300)), SCHEMA)
+    assert pseudo_likelihood.waves(9) == [(0, 1), (1, 3), (3, 7), (7, 9)]
+    one, many = (pseudo_likelihood.train(docs.repartition(n)) for n in (1, 7))
+    assert np.allclose(one.flat(), many.flat(), atol=1e-6) and not np.allclose(one.flat(), pseudo_likelihood.train(docs, rounds=0).flat(), atol=1e-3)
+    a, b = ({r.doc_id: r.log_likelihood for r in pseudo_likelihood.score(docs.repartition(n), one).collect()} for n in (1, 7))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-6) for k in a)
+
+
+def test_score_is_the_plain_sum(spark):
+    texts = [*sample(6, n=40, vocabulary=1500, words=90), "once", "never seen here", None, ""]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    net = pseudo_likelihood.train(docs)
+    seen = dict(net.counts.collect())
+    e, b, wc, bc, ww, bw = (w.astype(float) for w in net.weights)
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for r in pseudo_likelihood.score(docs, net).collect():
+        data, offsets = pseudo_likelihood.utf8(__import__("pyarrow").array([texts[r.doc_id]], "string"))
+        h = pseudo_likelihood.words(data, offsets, lower=True).hash
+        token, total = net.tokens(h), 0.0
+        for i, t in enumerate(token):
+            hidden = b.copy()
+            for c, o in enumerate(pseudo_likelihood.CONTEXT):
+                hidden = hidden + e[c][token[i + o] if 0 <= i + o < len(token) else pseudo_likelihood._V]
+            hidden, cluster = np.tanh(hidden), t // pseudo_likelihood.CLUSTER
+            p = softmax(hidden @ wc + bc)[cluster] * softmax(hidden @ ww[cluster] + bw[cluster])[t % pseudo_likelihood.CLUSTER]
+            if t >= pseudo_likelihood.WORDS:
+                p *= (seen.get(int(h[i].view(np.int64)), 0) + pseudo_likelihood.ADDED) / net.totals[t - pseudo_likelihood.WORDS]
+            total += np.log(p)
+        assert r.n_tokens == len(token) and r.log_likelihood == pytest.approx(total, abs=1e-3 * max(1, len(token)))
+
+
 def test_network_awkward(spark):
     docs = spark.createDataFrame(awkward(), SCHEMA)
     out = pseudo_likelihood.score(docs, pseudo_likelihood.train(docs)).collect()
