@@ -30,12 +30,19 @@ ENCODINGS = (
     ("base64", "^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-#: Relative frequencies of the letters a to z in English prose, in per cent.
-LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
+#: Relative frequencies of the letters a to z in English, German, French and Spanish prose, in per cent.
+LETTERS = (
+    (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074),
+    (6.5, 1.9, 2.7, 5.1, 16.4, 1.7, 3.0, 4.6, 6.6, 0.27, 1.4, 3.4, 2.5, 9.8, 2.6, 0.67, 0.018, 7.0, 7.3, 6.2, 4.2, 0.85, 1.9, 0.034, 0.039, 1.1),
+    (7.6, 0.9, 3.3, 3.7, 14.7, 1.1, 0.87, 0.74, 7.5, 0.61, 0.074, 5.5, 3.0, 7.1, 5.8, 2.5, 1.4, 6.7, 7.9, 7.2, 6.3, 1.8, 0.049, 0.43, 0.13, 0.33),
+    (11.5, 2.2, 4.0, 5.0, 12.2, 0.69, 1.8, 0.7, 6.2, 0.49, 0.011, 5.0, 3.2, 6.7, 8.7, 2.5, 0.88, 6.9, 8.0, 4.6, 2.9, 1.1, 0.017, 0.22, 1.0, 0.47),
+)
 #: Shares of lower-case letters, capitals, digits and other characters in the words of prose.
 SHARES = (0.95, 0.03, 0.01, 0.01)
-#: Level at which a token's randomness is rejected, share of false discoveries, and lower bounds of the strata of length.
-ALPHA, FALSE_DISCOVERIES, STRATA = 0.001, 0.01, (20, 32, 64)
+#: Share of false discoveries, of either kind, lower bounds of the strata of length, and steps of p-values to a power of ten.
+FALSE_DISCOVERIES, STRATA, STEPS = 0.01, (20, 32, 64), 10
+#: Steps of the smallest p-values told apart: 10^-300.
+MOST = 300 * STEPS
 
 
 def _bind(value: Column, f) -> Column:
@@ -74,23 +81,50 @@ def _upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def _prose_cost() -> Column:
-    """Map of a character to minus the logarithm of its share in prose."""
-    letters = [x / sum(LETTERS) for x in LETTERS]
+def _prose_cost(profile: tuple[float, ...]) -> Column:
+    """Of each ASCII character, minus the logarithm of its share in the prose of a language."""
+    letters = [x / sum(profile) for x in profile]
     share = {chr(97 + i): SHARES[0] * p for i, p in enumerate(letters)} | {chr(65 + i): SHARES[1] * p for i, p in enumerate(letters)}
     share |= {c: SHARES[2] / 10 for c in "0123456789"} | {c: SHARES[3] / 5 for c in "+/_=-"}
     return F.array(*[F.lit(-math.log(share[chr(i)]) if chr(i) in share else 0.0) for i in range(128)])
 
 
+def _battery(n: Column, a: Column, at: Column) -> Column:
+    """The p-value under which n characters are independent uniform draws from an alphabet of a; at: their places in it, from 1.
+
+    Uniformity: the chi-squared statistic grows with the number of pairs of equal characters, whose mean, variance and
+    third moment are known exactly, also where n is far under a and tables of chi-squared don't hold. Its upper tail, half
+    a pair lower, is that of the gamma distribution of these three moments, by Wilson and Hilferty's cube root. The number of runs
+    above or below the alphabet's middle, half a run nearer to its mean, and the correlation of neighbours are
+    compared with their moments under independence, on both sides. The least of the three p-values is multiplied by 3."""
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    counts = F.transform(F.array_distinct(at), lambda c: F.size(F.filter(at, lambda x: x == c)).cast("double"))
+    equal, q = total(F.transform(counts, lambda c: c * (c - 1) / 2)), 1 / a
+    var_equal = n * (n - 1) / 2 * q * (1 - q)
+    third = var_equal * (1 - 2 * q) + n * (n - 1) * (n - 2) * q * q * (1 - q)
+    freedom = 8 * F.pow(var_equal, F.lit(3)) / (third * third)
+    chi = freedom + F.sqrt(2 * freedom / var_equal) * (equal - 0.5 - n * (n - 1) / 2 * q)
+    z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / freedom, F.lit(1 / 3)) - (1 - 2 / (9 * freedom))) / F.sqrt(2 / (9 * freedom))
+    high = F.transform(at, lambda x: x > a / 2)
+    n1 = F.size(F.filter(high, lambda x: x)).cast("double")
+    pairs = F.sequence(F.lit(1), F.size(at) - 1)
+    runs = 1 + total(F.transform(pairs, lambda i: F.when(high[i] != high[i - 1], 1.0).otherwise(0.0)))
+    mean_runs = 2 * n1 * (n - n1) / n + 1
+    off = F.greatest(F.abs(runs - mean_runs) - 0.5, F.lit(0.0))
+    z_runs = F.coalesce(off / F.sqrt(F.nullif(F.greatest((mean_runs - 1) * (mean_runs - 2) / (n - 1), F.lit(0.0)), F.lit(0.0))), F.lit(9.0))
+    mean = total(at) / n
+    var = total(F.transform(at, lambda x: (x - mean) * (x - mean)))
+    cov = total(F.transform(pairs, lambda i: (at[i] - mean) * (at[i - 1] - mean)))
+    z_serial = F.coalesce((cov / F.nullif(var, F.lit(0.0)) + 1 / n) * F.sqrt(n), F.lit(9.0))
+    return F.least(F.lit(1.0), 3 * F.least(_upper_tail(z_chi), 2 * _upper_tail(z_runs), 2 * _upper_tail(F.abs(z_serial))))
+
+
 def _tests(token: Column) -> Column:
     """Inferred encoding, p-value of randomness and ln of the p-value of prose of a candidate.
 
-    Randomness: with the alphabet's a characters and length n, the chi-squared statistic of uniformity has mean a - 1
-    and variance 2 (a - 1)(1 - 1/n); the number of runs above or below the alphabet's middle, and the correlation of
-    neighbours, are compared with their moments under independence. The least of the three p-values is multiplied by 3.
-
-    Prose: the likelihood ratio of uniform draws from the alphabet to independent characters of prose has mean 1
-    for prose of any length, so by Markov's inequality its inverse is a p-value; it shrinks with every character."""
+    Randomness: the battery's, by the encoding's alphabet. Prose: the likelihood ratio of uniform draws from the
+    alphabet to independent characters of a language's prose has mean 1 for such prose of any length, so by Markov's inequality its
+    inverse is a p-value, which shrinks with every character; the largest over the languages counts."""
     body = F.regexp_replace(token, "=+$", "")
     encoding, alphabet = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, pattern, letters in reversed(ENCODINGS):
@@ -104,25 +138,10 @@ def _tests(token: Column) -> Column:
         return F.struct(F.size(chars).cast("double").alias("n"), F.length(k["alphabet"]).cast("double").alias("a"), k["encoding"].alias("encoding"), at.alias("at"), chars.alias("chars"))
 
     def judged(m: Column) -> Column:
-        n, a, at = m["n"], m["a"], m["at"]
-        total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
-        expected = n / a
-        counts = F.transform(F.array_distinct(at), lambda c: F.size(F.filter(at, lambda x: x == c)).cast("double"))
-        chi = total(F.transform(counts, lambda c: c * c)) / expected - n
-        z_chi = (chi - (a - 1)) / F.sqrt(2 * (a - 1) * (1 - 1 / n))
-        high = F.transform(at, lambda x: x > a / 2)
-        n1 = F.size(F.filter(high, lambda x: x)).cast("double")
-        pairs = F.sequence(F.lit(1), F.size(at) - 1)
-        runs = 1 + total(F.transform(pairs, lambda i: F.when(high[i] != high[i - 1], 1.0).otherwise(0.0)))
-        mean_runs = 2 * n1 * (n - n1) / n + 1
-        z_runs = F.coalesce((runs - mean_runs) / F.sqrt(F.nullif(F.greatest((mean_runs - 1) * (mean_runs - 2) / (n - 1), F.lit(0.0)), F.lit(0.0))), F.lit(9.0))
-        mean = total(at) / n
-        var = total(F.transform(at, lambda x: (x - mean) * (x - mean)))
-        cov = total(F.transform(pairs, lambda i: (at[i] - mean) * (at[i - 1] - mean)))
-        z_serial = F.coalesce((cov / F.nullif(var, F.lit(0.0)) + 1 / n) * F.sqrt(n), F.lit(9.0))
-        p = F.least(F.lit(1.0), 3 * F.least(_upper_tail(z_chi), 2 * _upper_tail(F.abs(z_runs)), 2 * _upper_tail(F.abs(z_serial))))
-        ratio = total(F.transform(m["chars"], lambda c: _prose_cost()[F.ascii(c)])) - n * F.ln(a)
-        return F.struct(m["encoding"].alias("encoding"), p.alias("p_random"), (-F.greatest(ratio, F.lit(0.0))).alias("ln_p_prose"))
+        n, a = m["n"], m["a"]
+        cost = lambda own: F.aggregate(m["chars"], F.lit(0.0), lambda s, c: s + own[F.ascii(c)])
+        ratio = F.least(*[cost(_prose_cost(profile)) for profile in LETTERS]) - n * F.ln(a)
+        return F.struct(m["encoding"].alias("encoding"), _battery(n, a, m["at"]).alias("p_random"), (-F.greatest(ratio, F.lit(0.0))).alias("ln_p_prose"))
 
     return _bind(_bind(known, measured), judged)
 
@@ -132,8 +151,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     base holds the fixed forms: `assign` (the whole match of keyword, separator and value, where the value is long
     enough), `access` and `hex`. spans adds `random`: runs of 20 or more credential characters, not inside a base
-    span, that pass the battery (see _tests). Their prose p-values are held against the Benjamini-Hochberg line over
-    all candidates of the corpus of like length, as a histogram of powers of ten: a few numbers per stratum.
+    span. Each of these is tested twice (see _tests), and both families of p-values are held against Benjamini-Hochberg lines over all
+    candidates of the corpus of like length: a candidate whose randomness the battery rejects there isn't a key, so that of
+    the candidates thrown out FALSE_DISCOVERIES at most are random; of the others those whose being prose is rejected are
+    reported, so that of these FALSE_DISCOVERIES at most are prose. The lines come from histograms of p-values in steps of 1 / STEPS of a power of
+    ten: a few hundred numbers per stratum.
 
     Null and empty texts have no spans; ids may be null or repeat; extra columns are ignored. All work on a text is
     done in its own row, so no shuffle carries texts or depends on how many matches a text or source has."""
@@ -159,24 +181,27 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = F.when(m["end"] - m["start"] >= least, i).otherwise(out)
         return out
 
-    power = lambda m: F.least(F.floor(-m["t"]["ln_p_prose"] / math.log(10)), F.lit(300)).cast("int")
-    each = found.where(F.size("cand") > 0).select(F.explode(F.transform("cand", lambda m: F.struct(stratum(m).alias("stratum"), F.when(m["t"]["encoding"].isNotNull(), power(m)).otherwise(0).alias("power")))).alias("c"))
-    histogram: dict[int, dict[int, int]] = {}
-    for r in each.groupBy("c.stratum", "c.power").count().collect():  # len(STRATA) * 301 rows at most
-        histogram.setdefault(r[0], {})[r[1]] = r[2]
-    lines = [discovery_line(histogram.get(i, {})) for i in range(len(STRATA))]
-    line = lambda m: F.array(*[F.lit(x) for x in lines])[stratum(m)]
-    random = F.filter("cand", lambda m: m["t"]["encoding"].isNotNull() & (m["t"]["p_random"] >= ALPHA) & (power(m) >= line(m)))
+    step = lambda ln_p: F.greatest(F.lit(0), F.least(F.floor(-ln_p * STEPS / math.log(10)), F.lit(MOST))).cast("int")
+    noise = lambda m: step(F.ln(F.greatest(m["t"]["p_random"], F.lit(1e-300))))
+    prose = lambda m: step(m["t"]["ln_p_prose"])
+    each = found.where(F.size("cand") > 0).select(F.explode(F.filter("cand", lambda m: m["t"]["encoding"].isNotNull())).alias("m"))
+    each = each.select(F.explode(F.array(*[F.struct(F.lit(k).alias("test"), stratum(F.col("m")).alias("stratum"), f(F.col("m")).alias("step")) for k, f in enumerate((noise, prose))])).alias("c"))
+    histogram: dict[tuple[int, int], dict[int, int]] = {}
+    for r in each.groupBy("c.test", "c.stratum", "c.step").count().collect():  # 2 * len(STRATA) * (MOST + 1) rows at most
+        histogram.setdefault((r[0], r[1]), {})[r[2]] = r[3]
+    line = lambda k, m: F.array(*[F.lit(discovery_line(histogram.get((k, i), {}), STEPS)) for i in range(len(STRATA))])[stratum(m)]
+    random = F.filter("cand", lambda m: m["t"]["encoding"].isNotNull() & (noise(m) < line(0, m)) & (prose(m) >= line(1, m)))
     added = F.transform(random, lambda m: F.struct(m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end")))
     return found.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
-def discovery_line(counts: dict[int, int]) -> int:
-    """Least power b such that rejecting all p-values of 10^-b and less keeps to the Benjamini-Hochberg line; 301 if none does."""
-    m, best, above = sum(counts.values()), 301, 0
-    for b in range(300, 0, -1):
+def discovery_line(counts: dict[int, int], steps: int = 1) -> int:
+    """Least b such that rejecting all p-values of 10^(-b / steps) and less keeps to the Benjamini-Hochberg line; one more than the greatest of them if none does."""
+    most = max([300 * steps, *counts])
+    m, best, above = sum(counts.values()), most + 1, 0
+    for b in range(most, 0, -1):
         above += counts.get(b, 0)
-        if above and 10.0**-b <= FALSE_DISCOVERIES * above / m:
+        if above and 10.0 ** (-b / steps) <= FALSE_DISCOVERIES * above / m:
             best = b
     return best
 

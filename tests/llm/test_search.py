@@ -254,6 +254,71 @@ def test_random_tokens_after_names_and_in_paths(spark):
     assert not any(out[i] for i in range(60, 80))
 
 
+ALPHABETS = {name: letters for name, _, letters in secrets.ENCODINGS}
+
+
+def battery(spark, tokens, a):
+    from pyspark.sql import functions as F
+
+    rows = [(i, float(len(t)), [float(x) for x in t]) for i, t in enumerate(tokens)]
+    df = spark.createDataFrame(rows, "i int, n double, at array<double>")
+    return {r.i: r.p for r in df.select("i", secrets._battery(F.col("n"), F.lit(float(a)), F.col("at")).alias("p")).collect()}
+
+
+@pytest.mark.parametrize("a", [16, 32, 36, 62, 64])
+def test_battery_has_its_level_on_random_tokens(spark, a):
+    """Simulated: of uniform tokens about as many or fewer have a p-value under a level, also where n is under a."""
+    rng = np.random.default_rng(a)
+    for n in (20, 40, 100):
+        p = np.array(list(battery(spark, rng.integers(1, a + 1, (3000, n)).tolist(), a).values()))
+        assert all((p <= level).mean() <= 1.5 * level + 0.002 for level in (0.1, 0.01, 0.001)), (n, [(p <= x).mean() for x in (0.1, 0.01, 0.001)])
+        assert (p <= 0.5).mean() > 0.2
+
+
+def test_battery_rejects_each_kind_of_order(spark):
+    rng = np.random.default_rng(1)
+    skewed = rng.choice(np.arange(1, 65), (50, 64), p=np.arange(1, 65)[::-1] ** 2 / (np.arange(1, 65) ** 2).sum()).tolist()
+    alternating = [[int(x) for pair in zip(rng.integers(1, 33, 32), rng.integers(33, 65, 32)) for x in pair] for _ in range(50)]
+    rising = [sorted(rng.integers(1, 65, 64).tolist()) for _ in range(50)]
+    for tokens in (skewed, alternating, rising):
+        assert np.median(list(battery(spark, tokens, 64).values())) < secrets.FALSE_DISCOVERIES
+
+
+def test_keys_without_a_keyword_are_caught_and_prose_is_not(spark):
+    rng = random.Random(12)
+    texts, keys = [], {}
+    for name in ("HEX", "base32", "base36", "base62", "base64", "base64url"):
+        for n in (24, 40, 64):
+            for _ in range(25):
+                keys[len(texts)] = (name, n)
+                texts.append("see " + "".join(rng.choice(ALPHABETS[name]) for _ in range(n)) + " there")
+    prose = {
+        "en": "counterrevolutionaries electroencephalographic internationalization uncharacteristically misunderstandings_of_the_words the/usual/places/of/letters",
+        "de": "Donaudampfschifffahrtsgesellschaft Rindfleischetikettierung Geschwindigkeitsbegrenzung Versicherungsgesellschaften Krankenversicherungskarte",
+        "fr": "anticonstitutionnellement institutionnalisation_des_mots professionnalisation-de-la-vie les/articles/du/journal/de/la/ville",
+        "es": "electroencefalografista desafortunadamente_nosotros internacionalizaciones la/casa/de/los/abuelos/en/la/sierra",
+    }
+    words = [(lang, w) for lang, t in prose.items() for w in t.split(" ")]
+    first = len(texts)
+    texts += [w for _, w in words for _ in range(20)]
+    out = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.find_secrets(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    caught = {}
+    for i, k in keys.items():
+        caught.setdefault(k, []).append(any(kind == 3 for _, kind, _ in out[i]))
+    assert sum(map(sum, caught.values())) >= 0.95 * len(keys), {k: sum(v) / len(v) for k, v in caught.items()}
+    false = [w for j, (_, w) in enumerate(words) if any(out[first + 20 * j + i] for i in range(20))]
+    assert not false, false
+
+
+def test_without_the_battery_ordered_tokens_would_pass(spark):
+    """Tokens no prose has, but that the battery rejects: only its p-values keep them out."""
+    rng = random.Random(14)
+    keys = ["".join(rng.choice(ALPHABETS["base62"]) for _ in range(44)) for _ in range(40)]
+    ordered = ["".join(sorted(k)) for k in keys] + ["".join(rng.choice("QXZ7J") for _ in range(44)) for _ in range(40)]
+    out = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows([*keys, *ordered]), SCHEMA)).collect()}
+    assert sum(bool(out[i]) for i in range(40)) >= 38 and not any(out[i] for i in range(40, 120))
+
+
 def test_secrets_awkward(spark):
     out = secrets.find_secrets(spark.createDataFrame(awkward(), SCHEMA)).select("doc_id", secrets.written("spans").alias("s")).collect()
     assert len(out) == len(awkward()) and all(r.s == "" for r in out)
