@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from margrave.llm.common import materialize, partitions, scratch_path, total_bytes
-from margrave.llm.textops import lean, slices, utf8, words
+from margrave.llm.textops import lean, mix, slices, utf8, words
 
 #: Words of the vocabulary, then hash buckets for all others; both together are CLUSTERS * CLUSTER classes.
 WORDS, BUCKETS, CLUSTERS, CLUSTER = 960, 64, 32, 32
@@ -312,8 +312,8 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
                 token, row = model.value.tokens(w.hash), b["row"][lo:hi]
                 p = model.value.log_probabilities(token, w.doc)
                 n, total = w.counts(), np.bincount(w.doc, p, minlength=w.docs)
-                none = pa.nulls(w.docs, pa.int64())
-                yield pa.RecordBatch.from_arrays([row, b["doc_id"][lo:hi], pa.array(n, pa.int64()), pa.array(total, pa.float64()), row, none], fields)
+                none, anywhere = pa.nulls(w.docs, pa.int64()), mix(row.to_numpy().astype(np.uint64)).view(np.int64)  # what these rows meet in the join is of no account
+                yield pa.RecordBatch.from_arrays([row, b["doc_id"][lo:hi], pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(anywhere), none], fields)
                 other = np.flatnonzero(token >= WORDS)
                 if len(other):
                     doc, h = w.doc[other], w.hash[other]
@@ -326,7 +326,8 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = own.mapInArrow(lean(run), "row long, doc_id long, n_tokens long, p double, h long, times long")
-    met = parts.join(net.counts.withColumnRenamed("n", "seen"), "h", "left")
+    # the counts, whose keys are unique hashes, are the side to build: even parts of them on any corpus
+    met = parts.join(net.counts.withColumnRenamed("n", "seen").hint("shuffle_hash"), "h", "left")
     total = F.array(*[F.lit(float(t)) for t in net.totals])[_bucket("h").cast("int")]
     share = F.ln((F.coalesce("seen", F.lit(0)) + ADDED) / total)
     sums = met.select("row", "doc_id", "n_tokens", F.coalesce("p", F.col("times") * share).alias("p")).groupBy("row")
