@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from margrave.errors import DatasetFinalizedError, DatasetNotFinalizedError, UnequalCounts
+from margrave.storage import numbered
 
 ROW, LABEL = "row_id", "row_label"
 
@@ -168,17 +168,6 @@ class SplitOptions:
     objective_thresholds: dict[str, tuple[float, float]] = field(default_factory=dict)
 
 
-def numbered(df: DataFrame, *order, name: str = "rn") -> DataFrame:
-    """df with each row's place, from 1, in a total order: rows are counted by range partition, so no task sees all rows."""
-    from pyspark.sql import Window
-
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    parts = parts.withColumn("__part", F.shiftright("__at", 33)).withColumn("__row", F.col("__at").bitwiseAND((1 << 33) - 1)).persist()
-    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return parts.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__row") + 1).cast("long")).drop("__at", "__part", "__row", "__before")
-
-
 def split_rows(df: DataFrame, train: int, key: str = ROW, seed: int = 0, order=None) -> DataFrame:
     """df with `is_train`, true for exactly `train` rows: those first in the order of a seeded hash, whatever the partitions."""
     order = order or [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
@@ -231,14 +220,14 @@ class SplitDataset:
 
 
 def load_or_build(spark: SparkSession, path: str, label: str, build: Callable[[], Dataset]) -> Dataset:
-    """A saved and locked dataset, or else build() saved and locked."""
+    """A saved and locked dataset, or else build() saved and locked. path: wherever Spark reads and writes."""
     from margrave.experiment import LockablePath
 
-    place = LockablePath(path, label)
+    place = LockablePath(path, label, spark=spark)
     if place.exists() and place.locked():
         return Dataset.load(spark, path, label)
     data = build().finalized()
     data = replace(data, label=label)
-    data.save(str(Path(path)))
+    data.save(path)
     place.lock("dataset")
     return data

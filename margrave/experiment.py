@@ -19,47 +19,108 @@ from margrave.errors import ExperimentLockedError, LockedPathError
 
 
 class LockablePath:
-    """A folder on the driver's machine with marker files that lock it, by kind of lock."""
+    """A folder, wherever Hadoop's file systems reach, that empty files named MARK + kind lock.
 
-    def __init__(self, repository: str | Path, folder: str, kind: str = "folder"):
-        self.path, self.kind = Path(repository, folder), kind
+    Without a session the path is one of the driver's machine, and Python's own file functions are used."""
+
+    MARK = "locked_"
+
+    def __init__(self, repository: str | Path, folder: str, kind: str = "folder", spark: SparkSession | None = None):
+        root = str(repository).rstrip("/") or "/"
+        self.url, self.kind = f"{root}/{folder}" if folder else root, kind
+        self.files = _HadoopFiles(spark) if spark is not None else _LocalFiles()
+
+    @property
+    def path(self) -> Path:
+        """The folder on the driver's machine."""
+        return Path(self.url.removeprefix("file://"))
 
     def exists(self) -> bool:
-        return self.path.exists()
+        return self.files.exists(self.url)
 
     def create(self) -> None:
-        self.path.mkdir(parents=True, exist_ok=True)
-
-    def marker(self, kind: str = "") -> Path:
-        return self.path / f"locked_{kind or self.kind}"
+        self.files.mkdirs(self.url)
 
     def locks(self) -> list[str]:
-        return sorted(p.name.removeprefix("locked_") for p in self.path.glob("locked_*")) if self.exists() else []
+        return sorted(n[len(self.MARK) :] for n in self.files.names(self.url) if n.startswith(self.MARK))
 
     def locked(self, kind: str = "") -> bool:
         """Whether it has a lock of this kind; without a kind, any lock."""
-        return self.marker(kind).exists() if kind else bool(self.locks())
+        found = self.locks()
+        return kind in found if kind else bool(found)
 
     def lock(self, kind: str = "") -> None:
         self.create()
-        self.marker(kind).touch()
+        self.files.touch(f"{self.url}/{self.MARK}{kind or self.kind}")
 
     def unlock(self, kind: str = "") -> None:
-        self.marker(kind).unlink(missing_ok=True)
+        self.files.remove(f"{self.url}/{self.MARK}{kind or self.kind}")
 
-    def delete(self) -> None:
-        if not self.exists():
-            raise LockedPathError(f"{self.path} doesn't exist")
+    def delete(self, part: str = "") -> None:
+        """Remove the folder, or a part of it, unless it is locked or isn't there."""
+        target = f"{self.url}/{part}" if part else self.url
         if self.locked():
-            raise LockedPathError(f"{self.path} is locked")
-        shutil.rmtree(self.path)
+            raise LockedPathError(f"{self.url} is locked: {', '.join(self.locks())}")
+        if not self.files.exists(target):
+            raise LockedPathError(f"{target} doesn't exist")
+        self.files.remove(target)
 
     def delete_subfolder(self, name: str) -> None:
-        if self.locked():
-            raise LockedPathError(f"{self.path} is locked")
-        if not (self.path / name).exists():
-            raise LockedPathError(f"{self.path / name} doesn't exist")
-        shutil.rmtree(self.path / name)
+        self.delete(name)
+
+
+class _HadoopFiles:
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def _at(self, url: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(url)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def exists(self, url: str) -> bool:
+        fs, p = self._at(url)
+        return fs.exists(p)
+
+    def mkdirs(self, url: str) -> None:
+        fs, p = self._at(url)
+        fs.mkdirs(p)
+
+    def names(self, url: str) -> list[str]:
+        fs, p = self._at(url)
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def touch(self, url: str) -> None:
+        fs, p = self._at(url)
+        fs.create(p, True).close()
+
+    def remove(self, url: str) -> None:
+        fs, p = self._at(url)
+        fs.delete(p, True)
+
+
+class _LocalFiles:
+    @staticmethod
+    def exists(url: str) -> bool:
+        return Path(url).exists()
+
+    @staticmethod
+    def mkdirs(url: str) -> None:
+        Path(url).mkdir(parents=True, exist_ok=True)
+
+    @staticmethod
+    def names(url: str) -> list[str]:
+        return [p.name for p in Path(url).iterdir()] if Path(url).is_dir() else []
+
+    @staticmethod
+    def touch(url: str) -> None:
+        Path(url).touch()
+
+    @staticmethod
+    def remove(url: str) -> None:
+        if Path(url).is_dir():
+            shutil.rmtree(url)
+        else:
+            Path(url).unlink(missing_ok=True)
 
 
 @dataclass

@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 from margrave.errors import NetworkNotFinalizedError
 
 
+#: Copies of a row that one row is exploded to, at most.
+COPIES = 1 << 20
+
+
 @dataclass
 class Node:
     """table: by tuple of parents' values, in the order of parents, the probabilities of the node's values; () for a root."""
@@ -185,6 +189,11 @@ class BayesianNetwork:
         if indices:
             place = lambda c: (F.array_position(F.array(*[F.lit(v) for v in self.nodes[c].values]), F.col(c)) - 1).cast("tinyint")
             rows = rows.select(*[place(c).alias(c) for c in self.names], "n")
+        # a key's copies are dealt out in pieces, so that no row makes more than COPIES of them
+        rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {COPIES}"))))
+        rows = rows.withColumn("n", F.least(F.lit(COPIES), F.col("n") - F.col("k") * COPIES))
+        if n > COPIES:
+            rows = rows.repartition(*self.names, "k")
         rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("k", "n")
         return rows.withColumn("row_id", F.monotonically_increasing_id()).select("row_id", *self.names)
 

@@ -20,12 +20,22 @@ from pyspark.sql import types as T
 
 from margrave.errors import InsufficientSamples
 from margrave.functions.info import chi2_cdf, sufficient
+from margrave.operators.cuboids import CuboidCache
+from margrave.storage import written
+
+#: Cells of the joint domain of column sets that are counted together, at most.
+UNION_CELLS = 1 << 16
+#: Samples from which joint entropies are worth stored cuboids; of fewer it is cheaper to look again.
+KEEP_ROWS = 100_000
 
 RESULTS = (
     "idx int, x string, y string, z array<string>, statistic string, g double, dof long, n long, p double, significance double, insufficient boolean, independent boolean, dsep boolean, duration_s double"
 )
 
 
+SCORES = "idx int, heuristic string, x string, y string, z array<string>, value double, duration_s double"
+
+
 @dataclass(frozen=True)
 class Request:
     x: str
@@ -82,24 +92,44 @@ class Result:
         return f"{self.x} {verdict} {self.y} | {'{' + ', '.join(self.z) + '}' if self.z else '∅'}"
 
 
+@dataclass
+class Score:
+    """What a ranking heuristic said of candidate y for target x given z."""
+
+    idx: int
+    heuristic: str
+    x: str
+    y: str
+    z: tuple[str, ...]
+    value: float
+    duration_s: float
+
+    def __str__(self):
+        return f"{self.heuristic}({self.x}, {self.y} | {'{' + ', '.join(self.z) + '}' if self.z else '∅'}) = {self.value}"
+
+
 @dataclass
 class CITestConfig:
-    """strategy: 'direct' counts samples, 'cuboid' counts cells of a stored cuboid, 'entropy' reuses joint entropies, 'dsep' asks a network.
+    """strategy: 'direct' counts samples, 'cuboid' rolls counts up from stored cuboids, which grow with what is asked, 'entropy' also reuses joint entropies, 'dsep' asks a network.
 
-    dof: 'structural' or 'unadjusted'. sufficient: columns (n, dof) -> boolean column. admit: a cuboid is stored if its
-    cells are fewer than this share of the samples. batch: requests counted by one job."""
+    dof: 'structural', 'unadjusted', or a function of a tester, a request and its structural degrees of freedom (null where
+    they aren't known, as with 'entropy') to a number. sufficient: columns (n, dof) -> boolean column. admit: a cuboid is
+    stored if its cells are fewer than this share of the samples. cuboids: stored counts (a CuboidCache) to start
+    with. batch: requests counted by one job."""
 
     significance: float = 0.95
     strategy: str = "direct"
-    dof: str = "structural"
+    dof: str | Callable[[CITester, Request, int | None], int] = "structural"
     sufficient: Callable[[Column, Column], Column] = sufficient
     network: object = None
     admit: float = 0.5
+    cuboids: CuboidCache | None = None
     batch: int = 4096
     entropy_path: str | None = None
     cuboid_path: str | None = None
     dof_path: str | None = None
     results_path: str | None = None
+    heuristic_results_path: str | None = None
 
 
 class Codes:
@@ -116,36 +146,117 @@ class Codes:
             raise ValueError(f"columns of more than {self.MAX_DOMAIN} values aren't discrete data: {[c for c in cols if sizes[c] > self.MAX_DOMAIN]}")
         row = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols], *[F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in cols]).first()
         self.domain = {c: ([None] if row[f"null {c}"] else []) + list(row[c]) for c in cols}
-        whole = all(isinstance(v, int) and v == i for c in cols for i, v in enumerate(self.domain[c]))
-        out = df
-        if whole:
-            codes = [F.col(c).cast("int") for c in cols]
-        else:
-            codes = []
-            for i, c in enumerate(cols):
-                values = [v for v in self.domain[c] if v is not None]
-                shift = len(self.domain[c]) - len(values)
-                if len(values) <= 64:
-                    place = F.array_position(F.array(*[F.lit(v) for v in values]).cast(T.ArrayType(df.schema[c].dataType)), F.col(c)).cast("int") - 1 + shift if values else F.lit(0)
-                    codes.append(F.coalesce(place, F.lit(0)))
-                else:
-                    table = df.sparkSession.createDataFrame(list(enumerate(values, shift)), T.StructType([T.StructField(f"__k{i}", T.IntegerType()), T.StructField(f"__v{i}", df.schema[c].dataType)]))
-                    out = out.join(F.broadcast(table), F.col(c) == F.col(f"__v{i}"), "left")
-                    codes.append(F.coalesce(f"__k{i}", F.lit(0)))
-        self.rows = out.select(F.array(*codes).alias("c"))
+        self.schema = df.schema
+        self.whole = all(isinstance(v, int) and v == i for c in cols for i, v in enumerate(self.domain[c]))
+        self.rows = self.coded(df, cols)
+
+    def coded(self, df: DataFrame, cols: Sequence[str], *more: str) -> DataFrame:
+        """An array `c` of the codes of some columns, in this order, and more columns as they are."""
+        if self.whole:
+            return df.select(F.array(*[F.col(c).cast("int") for c in cols]).alias("c"), *more)
+        out, codes = df, []
+        for i, c in enumerate(cols):
+            values = [v for v in self.domain[c] if v is not None]
+            shift = len(self.domain[c]) - len(values)
+            if len(values) <= 64:
+                place = F.array_position(F.array(*[F.lit(v) for v in values]).cast(T.ArrayType(self.schema[c].dataType)), F.col(c)).cast("int") - 1 + shift if values else F.lit(0)
+                codes.append(F.coalesce(place, F.lit(0)))
+            else:  # MAX_DOMAIN rows at most
+                table = df.sparkSession.createDataFrame(list(enumerate(values, shift)), T.StructType([T.StructField(f"__k{i}", T.IntegerType()), T.StructField(f"__v{i}", self.schema[c].dataType)]))
+                out = out.join(F.broadcast(table), F.col(c) == F.col(f"__v{i}"), "left")
+                codes.append(F.coalesce(f"__k{i}", F.lit(0)))
+        return out.select(F.array(*codes).alias("c"), *more)
 
     def size(self, c: str) -> int:
         return len(self.domain[c])
 
 
+def covers(sets: Sequence[tuple[str, ...]], size: Callable[[str], int], limit: float, near: int = 128) -> list[tuple[tuple[str, ...], list[int]]]:
+    """Unions of sets whose joint domains have `limit` cells at most, each with the numbers of the sets it covers.
+
+    Greedy: sets come by falling domain; each goes to the one of the `near` latest unions that it widens least, or begins
+    its own. A set of a larger domain than the limit is alone."""
+    number = {c: i for i, c in enumerate(sorted({c for s in sets for c in s}))}
+    wide = {1 << i: max(1, size(c)) for c, i in number.items()}
+
+    def cells(mask: int) -> int:
+        out = 1
+        while mask:
+            out *= wide[mask & -mask]
+            mask &= mask - 1
+        return out
+
+    masks = [sum(1 << number[c] for c in s) for s in sets]
+    found: list[list] = []  # mask, cells, members
+    for i in sorted(range(len(sets)), key=lambda i: (-cells(masks[i]), sets[i])):
+        best = None
+        for u in found[-near:]:
+            more = cells(masks[i] & ~u[0])
+            if (more == 1 or u[1] * more <= limit) and (best is None or more < best[0]):
+                best = (more, u)
+                if more == 1:
+                    break
+        if best:
+            best[1][0] |= masks[i]
+            best[1][1] *= best[0]
+            best[1][2].append(i)
+        else:
+            found.append([masks[i], cells(masks[i]), [i]])
+    names = sorted(number)
+    return [(tuple(c for k, c in enumerate(names) if u[0] >> k & 1), u[2]) for u in found]
+
+
 class Counter:
-    """Cells of many column sets in one job, from samples or from a cuboid."""
+    """Cells of many column sets, from samples, from a cuboid, or from what was counted before.
+
+    Sets are gathered in unions of small joint domains (see covers): the samples are counted by union, once for each,
+    and the sets are rolled up from the unions' cells. With keep the unions' cells are written and later
+    sets that they contain are rolled up from them, without a look at the samples: a dynamic index of cuboids. Cuboids
+    counted elsewhere can be added. `scans` counts the passes over the samples."""
 
-    def __init__(self, codes: Codes, base: DataFrame):
-        self.codes, self.base = codes, base
+    def __init__(self, codes: Codes, base: DataFrame, limit: float = 0, keep: bool = False):
+        self.codes, self.base, self.limit, self.keep, self.scans = codes, base, limit, keep, 0
+        self.stored: list[tuple[tuple[str, ...], int, DataFrame]] = []  # columns, number in the table, table (set, key, n)
+
+    def add(self, cols: Sequence[str], table: DataFrame) -> None:
+        """A cuboid: a table of these columns and n."""
+        cols = tuple(sorted(cols))
+        coded = self.codes.coded(table, cols, "n")
+        key = sum((F.col("c")[i].cast("long") * s for i, s in enumerate(self.strides(cols))), F.lit(0).cast("long"))
+        self.stored.append((cols, 0, coded.select(F.lit(0).alias("set"), key.alias("key"), "n")))
 
     def cells(self, sets: Sequence[tuple[str, ...]]) -> DataFrame:
         """(set, key, n); key packs the values' codes in mixed radix, the first column's digit lowest."""
+        have = sorted(self.stored, key=lambda x: math.prod(map(self.codes.size, x[0])))
+        source = {i: next((x for x in have if set(s) <= set(x[0])), None) for i, s in enumerate(sets)}
+        fresh = [i for i in range(len(sets)) if source[i] is None]
+        parts = []
+        if fresh:
+            self.scans += 1
+            unions = covers([sets[i] for i in fresh], self.codes.size, self.limit)
+            if self.keep or any(len(members) > 1 for _, members in unions):
+                table = self._counted([u for u, _ in unions])
+                if self.keep:
+                    table = written(table, "cuboids")
+                    self.stored += [(u, k, table) for k, (u, _) in enumerate(unions) if u]
+                parts.append(self._rolled(table, [(fresh[i], sets[fresh[i]], k, u) for k, (u, members) in enumerate(unions) for i in members]))
+            else:
+                order = [fresh[members[0]] for _, members in unions]
+                names = F.array(*[F.lit(i) for i in order])
+                parts.append(self._counted([u for u, _ in unions]).withColumn("set", names[F.col("set")]))
+        tables: dict[int, list] = {}
+        for i, x in source.items():
+            if x is not None:
+                tables.setdefault(id(x[2]), []).append((i, x))
+        for asked in tables.values():
+            parts.append(self._rolled(asked[0][1][2], [(i, sets[i], x[1], x[0]) for i, x in asked]))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def _counted(self, sets: Sequence[tuple[str, ...]]) -> DataFrame:
+        """Cells by one aggregation of the samples, each exploded over the sets."""
         width = max((len(s) for s in sets), default=0)
         rows = []
         for i, s in enumerate(sets):
@@ -158,6 +269,21 @@ class Counter:
             key = key + F.when(F.col(f"s.i{k}").isNull(), F.lit(0).cast("long")).otherwise(F.get("c", F.col(f"s.i{k}")).cast("long") * F.col(f"s.s{k}"))
         return self.base.select("c", "n", table.alias("s")).select(F.col("s.set").alias("set"), key.alias("key"), "n").groupBy("set", "key").agg(F.sum("n").alias("n"))
 
+    def _rolled(self, table: DataFrame, asked: Sequence[tuple[int, tuple[str, ...], int, tuple[str, ...]]]) -> DataFrame:
+        """Cells of sets (number, columns) from a table's cells of wider ones (number in it, columns)."""
+        width, rows = max(len(s) for _, s, _, _ in asked), []
+        for i, s, k, wider in asked:
+            place, own = dict(zip(wider, self.strides(wider), strict=True)), self.strides(s)
+            digits = [(place[c], max(1, self.codes.size(c)), t) for c, t in zip(s, own, strict=True)] + [(1, 1, 0)] * (width - len(s))
+            rows.append((k, i, *[v for d in digits for v in d]))
+        ddl = "wide int, set int" + "".join(f", d{k} long, m{k} long, s{k} long" for k in range(width))
+        plan = self.base.sparkSession.createDataFrame(rows, ddl)  # a batch's sets at most
+        key = F.lit(0).cast("long")
+        for k in range(width):
+            key = key + F.expr(f"((key div d{k}) % m{k}) * s{k}")
+        met = table.withColumnRenamed("set", "wide").join(F.broadcast(plan), "wide")
+        return met.select("set", key.alias("key"), "n").groupBy("set", "key").agg(F.sum("n").alias("n"))
+
     def strides(self, s: Sequence[str]) -> list[int]:
         out, stride = [], 1
         for c in s:
@@ -171,10 +297,11 @@ class Counter:
 class CITester:
     """Tests of conditional independence over one dataset, in batches or one by one.
 
-    `results` keeps what was tested, in order; `end()` appends it to config.results_path and stores caches."""
+    `results` keeps what was tested and `scores` what heuristics said, in order; `end()` appends them to
+    config.results_path and config.heuristic_results_path and stores caches."""
 
     def __init__(self, df: DataFrame, columns: Sequence[str], config: CITestConfig | None = None):
-        self.config, self.columns, self.results = config or CITestConfig(), list(columns), []
+        self.config, self.columns, self.results, self.scores = config or CITestConfig(), list(columns), [], []
         self.spark: SparkSession = df.sparkSession
         self.entropies: dict[frozenset[str], float] = {frozenset(): 0.0}
         self.reads = self.misses = 0
@@ -184,10 +311,15 @@ class CITester:
             return
         self.codes = Codes(df, self.columns)
         self.n = df.count()
-        base = self.codes.rows.withColumn("n", F.lit(1).cast("long"))
-        if self.config.strategy in ("cuboid", "entropy"):
+        base, keep = self.codes.rows.withColumn("n", F.lit(1).cast("long")), self.config.strategy in ("cuboid", "entropy")
+        if keep:
             base = self._cuboid(base)
-        self.counter = Counter(self.codes, base)
+        keep &= self.config.strategy == "cuboid" or self.n >= KEEP_ROWS
+        self.counter = Counter(self.codes, base, min(self.config.admit * self.n, UNION_CELLS), keep)
+        if self.config.cuboids is not None:
+            for cols, (table, _) in self.config.cuboids.stored.items():
+                if cols and cols <= set(self.columns):
+                    self.counter.add(cols, table)
         if self.config.entropy_path:
             self.entropies |= load_entropies(self.spark, self.config.entropy_path)
         if self.config.dof_path:
@@ -202,11 +334,8 @@ class CITester:
         if path:
             cells.write.parquet(path)
             return self.spark.read.parquet(path)
-        cells = cells.cache()
-        if cells.count() < self.config.admit * max(self.n, 1):
-            return cells
-        cells.unpersist()
-        return rows
+        few = rows.agg(F.approx_count_distinct(F.xxhash64("c"))).first()[0] < self.config.admit * max(self.n, 1)
+        return written(cells, "cells") if few else rows
 
     def test(self, x: str, y: str, z: Iterable[str] = ()) -> Result:
         return self.batch([Request.of(x, y, z)])[0]
@@ -237,11 +366,18 @@ class CITester:
         d = self.config.network.d_separated(q.x, q.z, q.y)
         return Result(q.x, q.y, q.z, independent=d, dsep=d, significance=self.config.significance, statistic="d-separation")
 
-    def _unadjusted(self, q: Request) -> int:
+    def unadjusted(self, q: Request) -> int:
         return max(1, (self.codes.size(q.x) - 1) * (self.codes.size(q.y) - 1) * math.prod(self.codes.size(c) for c in q.z))
 
+    def _free(self, q: Request, structural: int | None) -> int:
+        if callable(self.config.dof):
+            return max(1, int(self.config.dof(self, q, structural)))
+        return self.unadjusted(q) if self.config.dof == "unadjusted" else structural
+
     def statistics(self, requests: Sequence[Request]) -> DataFrame:
-        """(req, g, dof) by number of request, from cells: windows give the margins, and reciprocals of their sizes the numbers of values."""
+        """(req, g, dof, xyz, xz, yz, z) by number of request, from cells: windows give the margins, and reciprocals of their sizes the numbers of values.
+
+        The last four are sums of n ln n over the cells of these columns, which are the joint entropies but for the scale."""
         sets = sorted({tuple(sorted(q.all)) for q in requests})
         number, rows = {s: i for i, s in enumerate(sets)}, []
         for i, q in enumerate(requests):
@@ -255,8 +391,11 @@ class CITester:
         wz, wx, wy = (Window.partitionBy("req", "z", *more) for more in ((), ("x",), ("y",)))
         cells = cells.select("req", "z", "n", F.sum("n").over(wz).alias("nz"), F.sum("n").over(wx).alias("nx"), F.sum("n").over(wy).alias("ny"), (1 / F.count("*").over(wx)).alias("vx"), (1 / F.count("*").over(wy)).alias("vy"))
         d = lambda c: F.col(c).cast("double")
-        strata = cells.groupBy("req", "z").agg(F.sum(d("n") * F.ln(d("n") * d("nz") / (d("nx") * d("ny")))).alias("g"), F.round(F.sum("vx")).alias("vx"), F.round(F.sum("vy")).alias("vy"))
-        return strata.groupBy("req").agg((2 * F.abs(F.sum("g"))).alias("g"), F.greatest(F.lit(1), F.sum((F.col("vx") - 1) * (F.col("vy") - 1))).cast("long").alias("dof"))
+        sums = {"xyz": "n", "xz": "nx", "yz": "ny", "z": "nz"}
+        logs = [F.sum(d("n") * F.ln(d(n))).alias(f"s_{k}") for k, n in sums.items()]
+        strata = cells.groupBy("req", "z").agg(F.sum(d("n") * F.ln(d("n") * d("nz") / (d("nx") * d("ny")))).alias("g"), F.round(F.sum("vx")).alias("vx"), F.round(F.sum("vy")).alias("vy"), *logs)
+        free = F.greatest(F.lit(1), F.sum((F.col("vx") - 1) * (F.col("vy") - 1))).cast("long")
+        return strata.groupBy("req").agg((2 * F.abs(F.sum("g"))).alias("g"), free.alias("dof"), *[F.sum(f"s_{k}").alias(k) for k in sums])
 
     def _tested(self, requests: list[Request]) -> list[Result]:
         known: dict[int, tuple[float, int]] = {}
@@ -264,9 +403,7 @@ class CITester:
             known = self._by_entropies(requests)
         else:
             known = {r["req"]: (r["g"], r["dof"]) for r in self.statistics(requests).collect()}
-        if self.config.dof == "unadjusted":
-            known = {i: (g, self._unadjusted(requests[i])) for i, (g, _) in known.items()}
-        return self.decided(requests, known)
+        return self.decided(requests, {i: (g, self._free(requests[i], d)) for i, (g, d) in known.items()})
 
     def decided(self, requests: Sequence[Request], known: dict[int, tuple[float, int]]) -> list[Result]:
         """p-values and decisions of requests whose statistic and degrees of freedom are known."""
@@ -295,19 +432,35 @@ class CITester:
         asked = [t for four in terms for t in four if t]
         fresh = {t for t in asked if t not in self.entropies}
         self.reads, self.misses = self.reads + len(asked), self.misses + len(fresh)
-        self.learn_entropies(fresh)
+        if self.config.dof == "structural":
+            self._learn_both(requests, terms)
+        else:
+            self.learn_entropies(fresh)
         h = self.entropies
         g = {i: 2 * self.n * (h[xz] + h[yz] - h[xyz] - h[z]) for i, (xyz, xz, yz, z) in enumerate(terms)}
-        if self.config.dof == "unadjusted":
-            return {i: (v, 0) for i, v in g.items()}
-        missing = [(i, q) for i, q in enumerate(requests) if (frozenset((q.x, q.y)), q.all) not in self.dofs]
-        self.learn_dofs({q.all for _, q in missing})
+        if self.config.dof != "structural":
+            return {i: (v, None) for i, v in g.items()}
         return {i: (v, self.dofs[frozenset((requests[i].x, requests[i].y)), requests[i].all]) for i, v in g.items()}
 
+    def _learn_both(self, requests: Sequence[Request], terms: Sequence[tuple[frozenset[str], ...]]) -> None:
+        """Entropies and degrees of freedom that aren't known yet, from the same cells, in one job."""
+        pair = lambda q: (frozenset((q.x, q.y)), q.all)
+        new = list({pair(q): (q, t) for q, t in zip(requests, terms, strict=True) if pair(q) not in self.dofs or any(x not in self.entropies for x in t)}.values())
+        if not new:
+            return
+        for r in self.statistics([q for q, _ in new]).collect():
+            q, t = new[r["req"]]
+            self.dofs[pair(q)] = r["dof"]
+            for x, name in zip(t, ("xyz", "xz", "yz", "z"), strict=True):
+                self.entropies.setdefault(x, math.log(self.n) - r[name] / self.n)
+
     def learn_dofs(self, sets: Iterable[frozenset[str]]) -> None:
         """Structural degrees of freedom of every pair inside each set given the set's other columns, from the sets' cells."""
-        pairs = [Request.of(x, y, set(s) - {x, y}) for s in sets for x, y in itertools.combinations(sorted(s), 2)]
-        pairs = [q for q in pairs if (frozenset((q.x, q.y)), q.all) not in self.dofs]
+        self._count_dofs(Request.of(x, y, set(s) - {x, y}) for s in sets for x, y in itertools.combinations(sorted(s), 2))
+
+    def _count_dofs(self, asked: Iterable[Request]) -> None:
+        """The degrees of freedom of those that aren't known yet."""
+        pairs = list({(frozenset((q.x, q.y)), q.all): q for q in asked if (frozenset((q.x, q.y)), q.all) not in self.dofs}.values())
         for lo in range(0, len(pairs), self.config.batch):
             part = pairs[lo : lo + self.config.batch]
             for r in self.statistics(part).collect():
@@ -319,9 +472,19 @@ class CITester:
         rows = [(r.idx, r.x, r.y, list(r.z), r.statistic, r.g, r.dof, r.n, r.p, r.significance, r.insufficient, r.independent, r.dsep, r.duration_s) for r in self.results]
         return self.spark.createDataFrame(rows, RESULTS)
 
+    def scored(self, heuristic: str, requests: Sequence[Request], values: Sequence[float], seconds: float) -> None:
+        """Keep a batch of a heuristic's scores."""
+        each = seconds / max(1, len(requests))
+        self.scores += [Score(len(self.scores) + i, heuristic, q.x, q.y, q.z, float(v), each) for i, (q, v) in enumerate(zip(requests, values, strict=True))]
+
+    def score_frame(self) -> DataFrame:
+        return self.spark.createDataFrame([(s.idx, s.heuristic, s.x, s.y, list(s.z), s.value, s.duration_s) for s in self.scores], SCORES)
+
     def end(self) -> None:
         if self.config.results_path:
             self.frame().coalesce(1).write.mode("append").parquet(self.config.results_path)
+        if self.config.heuristic_results_path:
+            self.score_frame().coalesce(1).write.mode("append").parquet(self.config.heuristic_results_path)
         if self.config.entropy_path:
             save_entropies(self.spark, self.entropies, self.config.entropy_path)
         if self.config.dof_path:

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from margrave.functions.info import entropy_term
+from margrave.storage import before, ranged
 
 #: Probabilities this close count as equal.
 TOLERANCE = 1e-10
+#: Values of a column that are broadcast, at most.
+BROADCAST_VALUES = 100_000
 
 
 def keys_of(table: DataFrame) -> list[str]:
@@ -153,7 +156,7 @@ def contingency(df: DataFrame, cols: Sequence[str], zeros: Mapping[str, Sequence
     cells = None
     for c in cols:
         own = df.select(c).distinct() if zeros is True or c not in zeros else df.sparkSession.createDataFrame([(v,) for v in zeros[c]], df.select(c).schema)
-        cells = own if cells is None else cells.crossJoin(F.broadcast(own))  # the whole grid is the result
+        cells = own if cells is None else cells.crossJoin(F.broadcast(own) if own.count() <= BROADCAST_VALUES else own)  # the whole grid is the result
     same = F.lit(True)
     for c in cols:
         same = same & F.col(f"g.{c}").eqNullSafe(F.col(f"t.{c}"))
@@ -208,13 +211,11 @@ def exact_instances(table: DataFrame, n: int) -> DataFrame:
     Keys come by falling p, ties by key. Each takes max(1, round half to even of n p) of what is left; what then
     remains is dealt out again in the same way. Sums run over the table's keys, not over instances."""
     keys = keys_of(table)
-    order = [F.desc("p"), *keys]
     spark, left, parts = table.sparkSession, n, None
-    table = table.where("p > 0").cache()
+    rows = ranged(table.where("p > 0").select(*keys, "p"), F.desc("p"), *keys)
     while left > 0:
         wish = F.greatest(F.lit(1), F.bround(F.lit(left) * F.col("p"))).cast("long")
-        before = F.coalesce(F.sum("w").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        part = table.withColumn("w", wish).withColumn("b", before).select(*keys, F.greatest(F.least(F.col("w"), F.lit(left) - F.col("b")), F.lit(0)).cast("long").alias("n"))
+        part = before(rows.withColumn("w", wish), F.col("w"), "b").select(*keys, F.greatest(F.least(F.col("w"), F.lit(left) - F.col("b")), F.lit(0)).cast("long").alias("n"))
         taken = part.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if not taken:
             break

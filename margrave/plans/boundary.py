@@ -5,7 +5,9 @@ number of levels, not the number of tests. Sets are visited in ascending order o
 
 from __future__ import annotations
 
+import functools
 import itertools
+import time
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame
@@ -116,27 +118,35 @@ def ipcmb(tester: CITester | Tests, target: str, universe: Iterable[str] | None
     missing = [x for x in candidates if x not in memo]
     if missing:
         memo |= recognize_pc(tests, missing, universe)
-    sep = SepSets()
-    for t in [target, *candidates]:
-        for z, a, b, found in memo[t][1]:
-            if found or (a, b) not in sep:
-                sep.add(z, a, b)
-    pc = [x for x in candidates if target in memo[x][0]]
+    pc, asked = _spouse_tests(memo, target)
     if pc_only:
         return pc
-    asked = [(x, y) for x in pc for y in sorted(memo[x][0] - {target}) if y not in pc]
     boundary = set(pc)
-    for (_, y), r in zip(asked, tests.ask(Request.of(target, y, sep.get(target, y) | {x}) for x, y in asked), strict=True):
+    for (y, _), r in zip(asked, tests.ask(q for _, q in asked), strict=True):
         if not r.insufficient and not r.independent:
             boundary.add(y)
     return sorted(boundary)
 
 
+def _spouse_tests(memo: dict, target: str) -> tuple[list[str], list[tuple[str, Request]]]:
+    """Parents and children of target, and the tests by which other candidates may join as spouses; memo has target and all its candidates."""
+    candidates = sorted(memo[target][0])
+    sep = SepSets()
+    for t in [target, *candidates]:
+        for z, a, b, found in memo[t][1]:
+            if found or (a, b) not in sep:
+                sep.add(z, a, b)
+    pc = [x for x in candidates if target in memo[x][0]]
+    return pc, [(y, Request.of(target, y, sep.get(target, y) | {x})) for x in pc for y in sorted(memo[x][0] - {target}) if y not in pc]
+
+
 def ipcmb_all(tester: CITester, targets: Iterable[str] | None = None, pc_only: bool = False) -> dict[str, list[str]]:
-    """Boundaries of many targets; all walks of all targets share their levels' batches."""
+    """Boundaries of many targets; all walks of all targets share their levels' batches, and all tests of spouses are one."""
     tests = Tests(tester)
     targets = list(tester.columns if targets is None else targets)
     memo = recognize_pc(tests, tester.columns, tester.columns) if len(targets) > 1 else {}
+    if memo and not pc_only:
+        tests.ask(q for t in targets for _, q in _spouse_tests(memo, t)[1])
     return {t: ipcmb(tests, t, pc_only=pc_only, memo=memo) for t in targets}
 
 
@@ -147,26 +157,46 @@ Heuristic = Callable[[Sequence[Request]], list[float]]
 def cmi_heuristic(tester: CITester) -> Heuristic:
     """Conditional mutual information in nats, from the tester's counts."""
 
-    def score(requests):
+    def cmi(requests):
         found = {r["req"]: r["g"] / (2 * tester.n) for r in tester.statistics(requests).collect()}
         return [found[i] for i in range(len(requests))]
 
+    return cmi
+
+
+def recorded(tester: CITester, heuristic: Heuristic, name: str | None = None) -> Heuristic:
+    """The heuristic, whose scores the tester then keeps."""
+
+    def score(requests):
+        requests, began = list(requests), time.time()
+        values = heuristic(requests)
+        tester.scored(name or heuristic.__name__, requests, values, time.time() - began)
+        return values
+
     return score
 
 
 def network_cmi_heuristic(network, spark) -> Heuristic:
     """Conditional mutual information in nats of a network's own distribution."""
-    from margrave.functions.info import cmi_term
+    from pyspark.sql import Window
 
-    def one(q: Request) -> float:
-        from pyspark.sql import Window
+    from margrave.functions.info import cmi_term
 
+    def cells(i: int, q: Request) -> DataFrame:
         p = network.partial_joint(spark, q.all)
         over = lambda *by: F.sum("p").over(Window.partitionBy(*by))
-        cells = p.where("p > 0").select("p", over(*q.z).alias("pz"), over(*q.z, q.x).alias("px"), over(*q.z, q.y).alias("py"))
-        return abs(cells.agg(F.sum(cmi_term(F.col("p"), F.col("px"), F.col("py"), F.col("pz"), F.lit(1.0)))).first()[0])
+        return p.where("p > 0").select(F.lit(i).alias("req"), "p", over(*q.z).alias("pz"), over(*q.z, q.x).alias("px"), over(*q.z, q.y).alias("py"))
+
+    def cmi(requests):
+        """One job for all requests."""
+        if not requests:
+            return []
+        every = functools.reduce(DataFrame.unionByName, [cells(i, q) for i, q in enumerate(requests)])
+        term = cmi_term(F.col("p"), F.col("px"), F.col("py"), F.col("pz"), F.lit(1.0))
+        found = dict(every.groupBy("req").agg(F.abs(F.sum(term))).collect())
+        return [found[i] for i in range(len(requests))]
 
-    return lambda requests: [one(q) for q in requests]
+    return cmi
 
 
 def distance_heuristic(network) -> Heuristic:
@@ -178,12 +208,19 @@ def distance_heuristic(network) -> Heuristic:
         d = network.distance(q.x, q.y)
         return 1 / d if d else 0.0
 
-    return lambda requests: [one(q) for q in requests]
+    def distance(requests):
+        return [one(q) for q in requests]
+
+    return distance
 
 
 def separation_heuristic(network) -> Heuristic:
     """0 if d-separated, else 1."""
-    return lambda requests: [0.0 if network.d_separated(q.x, q.z, q.y) else 1.0 for q in requests]
+
+    def separation(requests):
+        return [0.0 if network.d_separated(q.x, q.z, q.y) else 1.0 for q in requests]
+
+    return separation
 
 
 def iamb(tester: CITester, target: str, heuristic: Heuristic | None = None, universe: Iterable[str] | None = None) -> list[str]:
@@ -192,7 +229,7 @@ def iamb(tester: CITester, target: str, heuristic: Heuristic | None = None, univ
     Growing: the candidate of highest score given the boundary so far joins it if dependent; if independent, growing ends;
     with too few samples it is discarded. Of equal scores the first name counts. Shrinking: members independent of the
     target given the other members go; with too few samples they stay. Each growing step is one batch of scores."""
-    score = heuristic or cmi_heuristic(tester)
+    score = recorded(tester, heuristic or cmi_heuristic(tester))
     left = sorted(set(tester.columns if universe is None else universe) - {target})
     boundary: list[str] = []
     while left:
@@ -221,7 +258,7 @@ def pcmb(tester: CITester, target: str, heuristic: Heuristic | None = None, univ
     that have the target in their own set. Spouses are found through common children."""
     tests = Tests(tester)
     universe = sorted(set(tester.columns if universe is None else universe))
-    score = heuristic or cmi_heuristic(tester)
+    score = recorded(tester, heuristic or cmi_heuristic(tester))
     scored: dict = {}
     sep = SepSets()
 

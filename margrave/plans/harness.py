@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from margrave.experiment import boundary_quality, test_summary
 from margrave.operators.bayesnet import BayesianNetwork
 from margrave.operators.citest import CITestConfig, CITester
+from margrave.operators.cuboids import CuboidCache
 from margrave.plans.boundary import cmi_heuristic, distance_heuristic, iamb, ipcmb_all
+from margrave.storage import stored_bytes, written
 
 
 def run_id(source: str, network: str, algorithm: str, target: str | int, samples: int | None = None) -> str:
@@ -65,8 +67,44 @@ def strategies(data: DataFrame, columns: Sequence[str], significance: float = 0.
     return out
 
 
+def grid(data: DataFrame, columns: Sequence[str], network: BayesianNetwork | None = None, significance: float = 0.95, admits: Sequence[float] = (0.0, 0.005, 0.01)) -> list[dict]:
+    """The run families of the comparison of test caches, as parameters of CITestConfig with a tag each.
+
+    d-separation (with a network), samples without a cache, stored cuboids of all columns made ahead (static) or of what is
+    asked (dynamic) for each share of the samples that their cells may have, and joint entropies."""
+    out = [{"tag": "dsep", "strategy": "dsep", "network": network}] if network else []
+    out.append({"tag": "unoptimized", "strategy": "direct"})
+    for kind, admit in ((k, a) for k in ("static", "dynamic") for a in admits):
+        out.append({"tag": f"{kind}_{round(1000 * admit)}", "strategy": "cuboid", "admit": admit, "static": kind == "static"})
+    out.append({"tag": "entropy", "strategy": "entropy"})
+    return [{"significance": significance, **r} for r in out]
+
+
+def run_grid(data: DataFrame, columns: Sequence[str], runs: Sequence[Mapping]) -> list[dict]:
+    """Boundaries of all columns by each run of the grid: tag, boundaries, tests, seconds, and passes over the samples."""
+    out = []
+    for r in runs:
+        began = time.time()
+        own = {k: v for k, v in r.items() if k not in ("tag", "static")}
+        if r.get("static"):
+            own["cuboids"] = CuboidCache(data, columns, admit=1.0)
+            own["cuboids"].build([columns])
+        tester = CITester(data, columns, CITestConfig(**own))
+        found = ipcmb_all(tester)
+        out.append({"tag": r["tag"], "boundaries": found, "tests": len(tester.results), "seconds": time.time() - began, "scans": None if tester.n is None else tester.counter.scans})
+    return out
+
+
 def cuboid_stats(data: DataFrame, columns: Sequence[str]) -> dict:
-    """Rows, cells, their ratio (what the admission rule compares), and seconds it takes to count them."""
+    """Rows, cells, their ratio (what the admission rule compares), bytes of the stored table, and seconds to count and store it."""
     began = time.time()
-    rows, cells = data.count(), data.groupBy(*columns).count().count()
-    return {"rows": rows, "cells": cells, "ratio": cells / max(rows, 1), "seconds": time.time() - began}
+    rows, table = data.count(), written(data.groupBy(*columns).agg(F.count("*").alias("n")), "cuboid")
+    cells = table.count()
+    return {"columns": sorted(columns), "rows": rows, "cells": cells, "ratio": cells / max(rows, 1), "bytes": stored_bytes(table), "seconds": time.time() - began}
+
+
+def stored_stats(cache: CuboidCache) -> list[dict]:
+    """Of each set that a cache has stored: columns, cells, ratio to the rows, and bytes where it is a written table."""
+    return [
+        {"columns": sorted(s), "cells": n, "ratio": n / max(cache.rows, 1), "bytes": stored_bytes(t) if cache.path else None} for s, (t, n) in sorted(cache.stored.items(), key=lambda x: sorted(x[0]))
+    ]

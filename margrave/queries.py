@@ -21,7 +21,7 @@ from margrave.sources.base import IdentitySource
 from margrave.sources.bif import parse_bif
 from margrave.sources.bn_sample import NetworkSampleSource
 from margrave.sources.doc_term import DocTermSource, ids_in_industry, vocabulary, word_counts
-from margrave.sources.synthetic_binary import SyntheticBinarySource
+from margrave.sources.synthetic_binary import SyntheticBinarySource, share_of_ones
 from margrave.streaming.contingency import windowed_counts, windowed_mi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -548,7 +548,7 @@ def iamb_dsep(spark, d):
 @query(TRUE)
 def ipcmb_exact_samples(spark, d):
     net = garden()
-    tester = CITester(net.sample(spark, 40_000, seed=11).cache(), net.names, CITestConfig(significance=0.99, strategy="cuboid"))
+    tester = CITester(net.exact_samples(spark, 40_000), net.names, CITestConfig(significance=0.99, strategy="cuboid"))
     return _boundaries(spark, ipcmb_all(tester))
 
 
@@ -610,7 +610,7 @@ def industry_filter(spark, d):
 
 @query("SELECT 'r' AS col, avg(r) AS share FROM " + BINARY + " UNION ALL SELECT 'f', avg(f) FROM " + BINARY + " UNION ALL SELECT 'q', avg(q) FROM " + BINARY + " UNION ALL SELECT 't', avg(t) FROM " + BINARY)
 def column_popularity(spark, d):
-    row = _binary(spark, d).agg(*[F.avg(c).alias(c) for c in "rfqt"])
+    row = share_of_ones(_binary(spark, d), *"rfqt")
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("share")) for c in "rfqt"])).alias("s")).select("s.*")
 
 
@@ -757,3 +757,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g_test_batch(spark, sf_dir)
 
 
+
+
+import margrave.queries_stored  # noqa: E402, F401  registers more
