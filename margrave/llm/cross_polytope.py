@@ -15,7 +15,7 @@ from margrave.llm.textops import lean, trimmed
 
 #: Tables; rounds of sign flips and Hadamard transform that make a pseudo-rotation.
 TABLES, ROUNDS = 16, 3
-#: Vectors of a bucket that one task compares with the bucket's queries; larger buckets are dealt out by salt.
+#: Vectors, and queries, of a bucket that one task compares; larger buckets are dealt out by salts.
 BLOCK = 8192
 #: Products this close to the worst one kept are computed again, each in the same order of additions.
 SLACK = 1e-9
@@ -184,7 +184,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     buckets as there are vectors is compared with all of them instead.
     Buckets rank their vectors exactly, in double precision on the original vectors; each query's best are merged.
 
-    A bucket of more than BLOCK vectors is dealt out by a salt to as many tasks as it needs, its queries to all.
+    A bucket of more than BLOCK vectors or queries is dealt out by salts: every part of its vectors meets every part of
+    its queries in a task of its own.
     Ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite components take no part, as
     a query or a candidate, nor do null ids. Shorter vectors count as filled with zeros. Rows of one id and equal
     vectors count once. Extra columns are ignored. Fewer candidates than k: all that are found."""
@@ -244,11 +245,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     schema = f"t int, code long, id long, v {kind}"
     placed = data.mapInArrow(lean(hashed(1, False)), schema)
     probed = asked.mapInArrow(lean(hashed(probes, True)), schema)
-    large = materialize(placed.groupBy("t", "code").count().where(F.col("count") > BLOCK).select("t", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "large-buckets")
-    large = F.broadcast(large) if large.count() <= 1_000_000 else large  # tables * n / BLOCK rows at most
-    parts = F.coalesce("parts", F.lit(1))
-    placed = placed.join(large, ["t", "code"], "left").select("t", "code", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(False).alias("query"), "id", "v")
-    probed = probed.join(large, ["t", "code"], "left").select("t", "code", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("query"), "id", "v")
+    sizes = placed.select("t", "code", F.lit(1).alias("v"), F.lit(0).alias("q")).unionByName(probed.select("t", "code", F.lit(0).alias("v"), F.lit(1).alias("q"))).groupBy("t", "code").agg(F.sum("v").alias("v"), F.sum("q").alias("q"))
+    tiles = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int").alias(f"{n}_parts")
+    large = materialize(sizes.where((F.col("v") > 0) & (F.col("q") > 0) & ((F.col("v") > BLOCK) | (F.col("q") > BLOCK))).select("t", "code", tiles("v"), tiles("q")), "large-buckets")
+    large = F.broadcast(large) if large.count() <= 1_000_000 else large  # tables * (n + probes * queries) / BLOCK rows at most
+    v_parts, q_parts, salt = F.coalesce("v_parts", F.lit(1)), F.coalesce("q_parts", F.lit(1)), lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    placed = placed.join(large, ["t", "code"], "left").select("t", "code", salt(v_parts).alias("part"), every(q_parts).alias("ask"), F.lit(False).alias("query"), "id", "v")
+    probed = probed.join(large, ["t", "code"], "left").select("t", "code", every(v_parts).alias("part"), salt(q_parts).alias("ask"), F.lit(True).alias("query"), "id", "v")
 
     def rank(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -261,7 +265,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             r, c, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return pa.table({"query_id": q_ids[r], "vec_id": v_ids[c], "score": s})
 
-    met = placed.unionByName(probed).groupBy("t", "code", "part").applyInArrow(trimmed(rank), "query_id long, vec_id long, score double")
+    met = placed.unionByName(probed).groupBy("t", "code", "part", "ask").applyInArrow(trimmed(rank), "query_id long, vec_id long, score double")
     once = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return once.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
