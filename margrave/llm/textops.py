@@ -8,8 +8,10 @@ operations, with no Python object per word. Memory is bounded by handling SLICE
 from __future__ import annotations
 
 import ctypes
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +48,24 @@ def _trim() -> None:
         libc.malloc_trim(0)
 
 
+@functools.cache
+def _one_thread() -> None:
+    """Keep numpy's matrix products to the task's own core: a worker runs on each core, and further threads of OpenBLAS only spin."""
+    maps = Path("/proc/self/maps")
+    libraries = {line.split(None, 5)[-1].strip() for line in maps.read_text().splitlines() if "openblas" in line} if maps.exists() else ()
+    for path in libraries:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def trimmed(f: Callable) -> Callable:
     """f, of one or two Arrow tables, which afterwards gives freed memory back to the system: idle Python workers would keep it."""
 
     def run(*tables):
+        _one_thread()
         try:
             return f(*tables)
         finally:
@@ -63,6 +79,7 @@ def lean(f: Callable) -> Callable:
     """f, a map over Arrow batches, which at its end gives freed memory back to the system."""
 
     def run(batches):
+        _one_thread()
         try:
             yield from f(batches)
         finally:
