@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -151,6 +153,24 @@ def _large_groups(sets: DataFrame, n_groups: int, percent: int, link) -> DataFra
     return pairs.unionByName(marked.where("absorbed").select(F.col("doc_id").alias("u"), F.col("lead").alias("v")))
 
 
+def _grouped(sets: DataFrame, orders: int, percent: int) -> DataFrame:
+    """(doc_id, front, band, root) of the sets (doc_id, front, band, perhaps root) that share, under every order, a prefix token with
+    another of their band or the next, directly or through others, and in all orders with the same others.
+
+    Roots are the groups' smallest ids. With a root already, only sets of one root are joined."""
+    within = ["root"] if "root" in sets.columns else []
+    slot = F.explode(F.array("band", F.col("band") + 1)) if percent < 100 else F.col("band")
+    shared = sets.select(*within, "doc_id", "band", F.explode("front").alias("token")).select(*within, "doc_id", "token", slot.alias("slot"))
+    least = shared.groupBy(*within, "token", "slot").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    edges = shared.join(least, [*within, "token", "slot"]).select(F.shiftright("token", 40).cast("int").alias("order"), F.col("doc_id").alias("u"), F.col("least").alias("v"))
+    found = components(edges, "order").groupBy("node").agg(*[F.max(F.when(F.col("order") == k, F.col("root"))).alias(f"r{k}") for k in range(orders)])
+    roots = [f"r{k}" for k in range(orders)]
+    found = found.dropna(subset=roots)
+    groups = found.groupBy(*roots).agg(F.min("node").alias("root"), F.count("*").alias("size")).where("size > 1").drop("size")
+    placed = materialize(found.join(groups, roots).select(F.col("node").alias("doc_id"), "root"), "groups")
+    return sets.drop("root").join(_small(placed, placed.count()), "doc_id")
+
+
 def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, orders: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Link documents whose sets of distinct n-word shingles have a Jaccard similarity of percent / 100 or more.
 
@@ -160,9 +180,11 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, orders: int = 3,
     1. Shingles are counted in hash buckets (see fingerprints); a shingle's class is the bit length of its count.
     2. Documents of equal sets become one class, represented by its smallest id.
     3. A global token order sorts by class, rarest first, then by a hash of the order's own. Two similar sets share
-       a token of their prefixes under every such order. Prefix tokens under the first order group the
-       representatives (stars around the smallest, then connected components); inside a group only pairs that pass
-       the prefix filters of all orders, and the length filter, are verified, on whole sets.
+       a token of their prefixes under every such order, and are in one band of sizes or in neighbouring ones. Under each order
+       representatives that share a prefix token in such bands are joined (stars around the smallest, then connected
+       components); the orders are intersected, so a group is what all of them hold together, and the same is done once more
+       inside the groups, where fewer sets share a token. Inside a group only pairs that pass the prefix filters of all
+       orders, and the length filter, are verified, on whole sets.
     4. In a group whose sets exceed BLOCK_BYTES or BLOCK_ROWS every set is first compared with the group's smallest document. Those
        linked with it are one component and needn't be compared with each other; what is left, few in a group of near
        copies, is dealt into blocks that are compared with all blocks of the group and with each other, each two in a
@@ -212,12 +234,14 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, orders: int = 3,
                     take[i] = 0  # an equal set of a smaller id in this group stands for it
             use = shared & (take[row] > 0)
             r, hh, cc = row[use], h[use], cls[use]
-            at_front = _fronts(r, hh, cc, take, 0)
+            # tokens of 40 bits, the order's number above them
+            at_front = np.stack([_fronts(r, hh, cc, take, k) for k in range(orders)])
+            short = np.stack([(hh >> _U(TOKEN_BITS - 40)).astype(np.int64) | (k << 40) for k in range(orders)])
             edge = np.searchsorted(r, np.arange(m + 1))
             for i in np.flatnonzero(take):
                 s = slice(edge[i], edge[i + 1])
                 tokens[i], cls_out[i] = fp.pack(hh[s]), cc[s].tobytes()
-                front[i] = (hh[s][at_front[s]] >> _U(TOKEN_BITS - 40)).astype(np.int64)
+                front[i] = short[:, s][at_front[:, s]]
         return pa.table(
             {
                 "doc_id": t["doc_id"].cast(pa.int64()),
@@ -241,9 +265,9 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, orders: int = 3,
         groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(trimmed(describe), schema).unionByName(unmet), "shingle-sets"
     )
     reps = described.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    first = described.where("front is not null").select("doc_id", "sig", "front").join(reps, "sig").where("doc_id = rep").select("doc_id", F.explode("front").alias("token"))
-    least = first.groupBy("token").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("token", "least")
-    near = components(first.join(least, "token").select(F.col("doc_id").alias("u"), F.col("least").alias("v")))
+    first = described.where("front is not null").select("doc_id", "n", "sig", "front").join(reps, "sig").where("doc_id = rep")
+    band = F.floor(F.ln("n") / (math.log(100 / percent) * (1 + 1e-9))).cast("int") if percent < 100 else F.col("n")
+    near = _grouped(_grouped(first.select("doc_id", "front", band.alias("band")), orders, percent), orders, percent).select(F.col("doc_id").alias("node"), "root")
     near = _small(near, near.count())
     sets = described.where("tokens is not null").select("doc_id", "n", "tokens", "classes").join(near, F.col("doc_id") == F.col("node")).select("doc_id", "n", "tokens", "classes", "root")
     large = sets.groupBy("root").agg(F.sum(F.octet_length("tokens")).alias("bytes"), F.count("*").alias("rows")).where((F.col("bytes") > BLOCK_BYTES) | (F.col("rows") > BLOCK_ROWS)).select("root")
