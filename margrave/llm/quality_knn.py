@@ -20,6 +20,8 @@ REPEAT_BINS, REPEAT_SCALE = 1, 20
 _BINS = WORD_BINS + SHAPE_BINS + REPEAT_BINS
 #: Labelled documents in the vote, at most; latent dimensions; neighbours that vote; power of a similarity that is its weight.
 MAX_LABELLED, DIMENSIONS, NEIGHBOURS, SHARPNESS = 4096, 64, 15, 8
+#: Similarities that differ by no more are ties: single precision leaves less between copies of one text.
+TIE = 1e-6
 #: Documents in a block of cosine products.
 BLOCK = 512
 
@@ -76,15 +78,18 @@ class Voters:
         return cls(weight, axes, _unit(x @ axes), labels.astype(np.float32))
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        """The labels of the most similar voters, weighted by similarity; a document like none of them gets the mean label."""
+        """The labels of the NEIGHBOURS most similar voters and of all that tie with the last of these, weighted by similarity.
+
+        A document like none of them gets the mean label."""
         if not len(self.labels):
             return np.full(len(counts), 0.5)
         near = _unit(_unit(counts * self.weight) @ self.axes) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
-        top = np.argpartition(near, -k, axis=1)[:, -k:]
-        weight = np.maximum(np.take_along_axis(near, top, 1), 0).astype(float) ** SHARPNESS
-        total, prior = weight.sum(1), float(self.labels.mean())
-        vote = (weight * self.labels[top]).sum(1)
+        last = np.partition(near, -k, axis=1)[:, -k]
+        doc, voter = np.nonzero(near >= last[:, None] - TIE)
+        weight = np.maximum(near[doc, voter], 0).astype(float) ** SHARPNESS
+        total, prior = np.bincount(doc, weight, minlength=len(counts)), float(self.labels.mean())
+        vote = np.bincount(doc, weight * self.labels[voter], minlength=len(counts))
         return np.clip(np.where(total > 1e-12, vote / np.maximum(total, 1e-12), prior), 0, 1)
 
 

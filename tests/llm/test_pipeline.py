@@ -11,10 +11,12 @@ import public_tokenizers as P
 import pytest
 
 import corpus_pipeline
+from margrave.llm import pseudo_likelihood
+from margrave.llm.quality_knn import fit_quality
 from margrave.llm.queries import ORACLES, QUERIES
 from tests.llm.common import awkward
 from tests.llm.test_dedup import plain_components, plain_lines, plain_substrings
-from tests.llm.test_search import plain_base, plain_hits
+from tests.llm.test_search import plain_base, plain_hits, plain_sums, plain_votes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -101,8 +103,13 @@ def test_neighbours_against_brute_force(spark, small, duck):
 def test_quality_and_scores(spark, small, texts, duck):
     rows = QUERIES["op7_quality_knn"](spark, small).collect()
     assert {r.doc_id for r in rows} == set(texts) and all(r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    want = plain_votes(fit_quality(docs, labels), texts)
+    assert all(r.score == pytest.approx(want[r.doc_id], abs=1e-3) for r in rows)
     lm = QUERIES["op1_pseudo_likelihood"](spark, small).collect()
     assert len(lm) == len(texts) and all(r.log_likelihood <= 0 and r.n_tokens == len((texts[r.doc_id] or "").encode().split()) for r in lm)
+    sums = plain_sums(pseudo_likelihood.train(docs), texts)
+    assert all((r.n_tokens, r.log_likelihood) == (sums[r.doc_id][0], pytest.approx(sums[r.doc_id][1], abs=1e-3 * max(1, r.n_tokens))) for r in lm)
 
 
 def same(df, want):

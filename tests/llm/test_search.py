@@ -133,6 +133,43 @@ def test_voting_is_exact():
         assert abs(score[i] - (w * labels[top]).sum() / w.sum()) < 1e-5
 
 
+def plain_features(text):
+    """Log counts of a text, a word and a character at a time."""
+    data = (text or "").encode()
+    tokens, out = data.lower().split(), np.zeros(quality_knn._BINS)
+    for t in tokens:
+        out[int(quality_knn.words(np.frombuffer(t, np.uint8), np.array([0, len(t)])).hash[0]) % quality_knn.WORD_BINS] += 1
+    for a, b, c in zip(data, data[1:], data[2:]):
+        a, b, c = (int(quality_knn._KIND[x]) for x in (a, b, c))
+        out[quality_knn.WORD_BINS + quality_knn._SHAPE_BIN[(a * quality_knn._KINDS + b) * quality_knn._KINDS + c]] += 1
+    out = np.log1p(out)
+    out[-1] = quality_knn.REPEAT_SCALE * sum(a == b for a, b in zip(tokens, tokens[1:])) / max(1, len(tokens))
+    return out
+
+
+def plain_votes(voters, texts):
+    """{id: score}, a document and a voter at a time."""
+    out = {}
+    unit = lambda x: x / (np.linalg.norm(x) or 1)
+    for d, text in texts.items():
+        x = unit(unit(plain_features(text) * voters.weight) @ voters.axes)
+        near = sorted(((float(x @ v), label) for v, label in zip(voters.vectors, voters.labels)), reverse=True)
+        last = near[: quality_knn.NEIGHBOURS][-1][0]
+        votes = [(max(s, 0) ** quality_knn.SHARPNESS, label) for s, label in near if s >= last - quality_knn.TIE]
+        total = sum(w for w, _ in votes)
+        out[d] = sum(w * label for w, label in votes) / total if total > 1e-12 else float(voters.labels.mean())
+    return out
+
+
+def test_voters_that_tie_all_vote():
+    x = np.zeros((40, quality_knn._BINS), np.float32)
+    x[:20, 0], x[20:, 1] = 1, 1
+    labels = np.array([0] * 10 + [1] * 10 + [0] * 20)
+    for order in (np.arange(40), np.random.default_rng(2).permutation(40)):
+        score = quality_knn.Voters.fit(x[order], labels[order], 2).score(x[[0, 30]])
+        assert score == pytest.approx([0.5, 0], abs=1e-6)  # 20 voters are equally near, and 15 are asked for
+
+
 def test_network_learns_and_sums(spark):
     rng = random.Random(1)
     order = {w: f"x{(i + 1) % 12}" for i, w in enumerate(f"x{k}" for k in range(12))}
@@ -182,15 +219,13 @@ def test_network_is_the_same_on_any_partitioning(spark, monkeypatch):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-6) for k in a)
 
 
-def test_score_is_the_plain_sum(spark):
-    texts = [*sample(6, n=40, vocabulary=1500, words=90), "once", "never seen here", None, ""]
-    docs = spark.createDataFrame(rows(texts), SCHEMA)
-    net = pseudo_likelihood.train(docs)
-    seen = dict(net.counts.collect())
+def plain_sums(net, texts):
+    """{id: (tokens, sum of ln P)}, a token at a time."""
+    seen, out = dict(net.counts.collect()), {}
     e, b, wc, bc, ww, bw = (w.astype(float) for w in net.weights)
     softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
-    for r in pseudo_likelihood.score(docs, net).collect():
-        data, offsets = pseudo_likelihood.utf8(__import__("pyarrow").array([texts[r.doc_id]], "string"))
+    for d, text in texts.items():
+        data, offsets = pseudo_likelihood.utf8(__import__("pyarrow").array([text], "string"))
         h = pseudo_likelihood.words(data, offsets, lower=True).hash
         token, total = net.tokens(h), 0.0
         for i, t in enumerate(token):
@@ -202,7 +237,19 @@ def test_score_is_the_plain_sum(spark):
             if t >= pseudo_likelihood.WORDS:
                 p *= (seen.get(int(h[i].view(np.int64)), 0) + pseudo_likelihood.ADDED) / net.totals[t - pseudo_likelihood.WORDS]
             total += np.log(p)
-        assert r.n_tokens == len(token) and r.log_likelihood == pytest.approx(total, abs=1e-3 * max(1, len(token)))
+        out[d] = len(token), total
+    return out
+
+
+def test_score_is_the_plain_sum(spark):
+    texts = [*sample(6, n=40, vocabulary=1500, words=90), "once", "never seen here", None, ""]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    net = pseudo_likelihood.train(docs)
+    want = plain_sums(net, dict(enumerate(texts)))
+    for r in pseudo_likelihood.score(docs, net).collect():
+        n, total = want.pop(r.doc_id)
+        assert r.n_tokens == n and r.log_likelihood == pytest.approx(total, abs=1e-3 * max(1, n))
+    assert not want
 
 
 def test_network_awkward(spark):
